@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op7_subset_sum
 from .packing import op5_cutting_stock
+from .sharding import op2_lpt_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lpt_sharding": op2_lpt_sharding,
     "op5_cutting_stock": op5_cutting_stock,
+    "op7_subset_sum": op7_subset_sum,
 }
 
 ORACLE: dict[str, str] = {}
