@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_hierarchical_langid
 from .mixing import op7_subset_sum
 from .packing import op5_cutting_stock
+from .quality import op1_pu_quality
 from .sharding import op2_lpt_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_quality": op1_pu_quality,
     "op2_lpt_sharding": op2_lpt_sharding,
     "op5_cutting_stock": op5_cutting_stock,
     "op7_subset_sum": op7_subset_sum,
+    "op9_hierarchical_langid": op9_hierarchical_langid,
 }
 
 ORACLE: dict[str, str] = {}
