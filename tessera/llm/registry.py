@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op9_hierarchical_langid
 from .mixing import op7_subset_sum
+from .neardup import op10_chosen_path
 from .packing import op5_cutting_stock
 from .quality import op1_pu_quality
 from .sharding import op2_lpt_sharding
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_cutting_stock": op5_cutting_stock,
     "op7_subset_sum": op7_subset_sum,
     "op9_hierarchical_langid": op9_hierarchical_langid,
+    "op10_chosen_path": op10_chosen_path,
 }
 
 ORACLE: dict[str, str] = {}
