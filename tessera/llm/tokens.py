@@ -15,7 +15,6 @@ import numpy as np
 #: Words kept between batches of one Python worker; beyond it the cache starts anew (only speed changes).
 CACHE_WORDS = 1_000_000
 _SIMPLE = r"[\x21-\x7e\xa1-įı-ɏ]+"
-_WHITE = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 
 
 class WordTokenizer:
@@ -40,7 +39,7 @@ class WordTokenizer:
         for i, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             ranks.setdefault(raw(a + b), 1000 + i)
-        self.to_id = {ranks[raw(s)]: i for s, i in model["vocab"].items() if not s.startswith("<|") and raw(s) in ranks}
+        self.id_bytes = {ranks[raw(s)]: i.to_bytes(4, "little") for s, i in model["vocab"].items() if not s.startswith("<|") and raw(s) in ranks}
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.simple = regex.compile(_SIMPLE).fullmatch
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -50,19 +49,25 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            ids = [self.to_id[r] for r in self.merge(piece.encode() + b"\xff")]
-            found = self.pieces[piece] = np.array(ids, "<u4").tobytes()
+            found = self.pieces[piece] = b"".join(map(self.id_bytes.__getitem__, self.merge(piece.encode() + b"\xff")))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null and empty: none."""
-        split = [(t or "").translate(_WHITE).split(" ") for t in texts]
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words, self.pieces = {"": b""}, {}
         words, odd = self.words, []
         for w in set().union(*split) - words.keys():
             if self.simple(w):
-                words[w] = b"".join([self._piece(p) for p in self.cut(w.lower())])
+                low = w.lower()
+                end = low[-1]
+                if low.isalpha():
+                    words[w] = self._piece(low)
+                elif end in ".,?!" and low[:-1].isalpha():
+                    words[w] = self._piece(low[:-1]) + self._piece(end)
+                else:
+                    words[w] = b"".join([self._piece(p) for p in self.cut(low)])
             else:
                 odd.append(w)
         for i in range(0, len(odd), 10_000):
