@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .neardup import _grouped
 
-SAMPLE, NEIGHBOURS, K, EXACT, PER_PART, MOST_PARTS, TARGET = 6000, 10, 20, 4096, 2048, 256, 0.97
+SAMPLE, NEIGHBOURS, K, EXACT, PER_PART, MOST_PARTS, TARGET = 6000, 10, 20, 4096, 2048, 256, 0.95
 CANDIDATES, QUERIES = 4096, 2048
 
 

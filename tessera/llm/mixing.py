@@ -17,7 +17,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -78,9 +78,16 @@ def fit(histogram: dict[int, int], budget: int, window: int = WINDOW) -> dict[in
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """docs with size, source_size, target and taken (words, repeats counted)."""
     spark = docs.sparkSession
+    docs = docs.drop("size", "source_size", "target", "taken")
     words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = docs.drop("size", "source_size", "target", "taken").withColumn("size", words)
-    return _mixed(rows, spark, weights, share, most, seed)
+    key = F.struct("doc_id", "source", "size")
+    nth = F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0)))
+    slim = common.stored(docs.select("doc_id", "source", words.alias("size")), "mix-rows")
+    decided = _mixed(slim, docs.sparkSession, weights, share, most, seed).select(key.alias("_k"), "source_size", "target", "taken")
+    decided = decided.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("taken"))))
+    whole = docs.withColumn("size", words).withColumn("_k", key).withColumn("_m", nth)
+    # the n-th of repeated rows takes the n-th decision; written as two inequalities, the rows stay dealt by _k
+    return whole.join(decided, ["_k"]).where("_m <= _n and _m >= _n").drop("_k", "_m", "_n")
 
 
 def _mixed(rows: DataFrame, spark, weights, share, most, seed) -> DataFrame:
