@@ -46,17 +46,15 @@ PATTERN = "|".join(
 _IP = r"^\d{1,3}(\.\d{1,3}){3}$"
 _CYRILLIC = r"[А-Яа-яЁё]"
 _GIVEN = {
-    ("f", "latin"): "Anna Maria Elena Laura Sophie Clara Julia Emma Nora Alice Irene Paula Lucia Helena Marta Diana".split(),
-    ("m", "latin"): "Paul Martin Thomas Daniel Victor Simon Oscar David Felix Hugo Leon Adrian Julian Marco Robert Peter".split(),
-    ("n", "latin"): "Robin Alex Kim Sascha Noel Jules Dominique Camille Andrea Chris Jamie Morgan Taylor Jordan Casey Charlie".split(),
-    ("f", "cyrillic"): "Анна Мария Елена Ольга Ирина Наталья Софья Вера Нина Дарья Юлия Алла Тамара Лидия Зоя Инна".split(),
-    ("m", "cyrillic"): "Иван Пётр Павел Андрей Сергей Виктор Олег Игорь Максим Юрий Антон Борис Глеб Роман Лев Фёдор".split(),
-    ("n", "cyrillic"): "Саша Женя Валя Слава Миша Шура Вася Паша Лёша Гоша Стася Тоня Ника Лера Кира Юра".split(),
-}
-_SYLLABLES = {
-    "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so".split(),
-    "cyrillic": "ба бе бо да де до фа фе га го ха хе ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со".split(),
+    ("f", "latin"): "Anna Maria Elena Laura Sophie Clara Julia Emma Nora Alice Irene Paula Lucia Helena Marta Diana",
+    ("m", "latin"): "Paul Martin Thomas Daniel Victor Simon Oscar David Felix Hugo Leon Adrian Julian Marco Robert Peter",
+    ("n", "latin"): "Robin Alex Kim Sascha Noel Jules Dominique Camille Andrea Chris Jamie Morgan Taylor Jordan Casey Charlie",
+    ("f", "cyrillic"): "Анна Мария Елена Ольга Ирина Наталья Софья Вера Нина Дарья Юлия Алла Тамара Лидия Зоя Инна",
+    ("m", "cyrillic"): "Иван Пётр Павел Андрей Сергей Виктор Олег Игорь Максим Юрий Антон Борис Глеб Роман Лев Фёдор",
+    ("n", "cyrillic"): "Саша Женя Валя Слава Миша Шура Вася Паша Лёша Гоша Стася Тоня Ника Лера Кира Юра",
 }
+#: 32 syllables of two letters.
+_SYLLABLES = {"latin": "babebobudadedodufafefofugagegogukakekokulalelolumamemomunanenonu", "cyrillic": "бабебобудадедодуфафефофугагегогукакекокулалелолумамемомунаненону"}
 
 
 def kind(e: Column) -> Column:
@@ -83,37 +81,21 @@ def _value(e: Column) -> Column:
     return F.regexp_replace(e, rf"^{SECRET}[ \t]?[=:][ \t]?[\"']?|[\"']$", "")
 
 
-def canonical(e: Column) -> Column:
-    k = kind(e)
+def _canonical(e: Column, k: Column) -> Column:
     return F.concat(k, F.lit(":"), F.when(k.isin("phone", "card", "ssn"), F.regexp_replace(e, r"\D", "")).when(k == "email", F.lower(e)).when(k == "secret", _value(e)).when(k == "name", F.lower(_bare(e))).otherwise(e))
 
 
-def _hash(key: str, what: Column, attempt: Column) -> Column:
-    return F.sha2(F.concat(F.lit(key + "|"), attempt.cast("string"), F.lit("|"), what).cast("binary"), 256)
-
-
-def _digits(h: Column) -> Column:
-    return F.translate(h, "abcdef", "012345")
-
-
-def _letters(h: Column) -> Column:
-    return F.translate(h, "0123456789", "ghijklmnop")
-
-
-def _stream(key: str, what: Column, attempt: Column, f) -> Column:
-    """128 symbols, enough for the entities the pattern finds; longer ones repeat them."""
-    h = _hash(key, what, attempt)
-    return f(F.concat(h, F.sha2(h.cast("binary"), 256)))
+def canonical(e: Column) -> Column:
+    return F.transform(F.array(e), lambda x: _canonical(x, kind(x)))[0]
 
 
 def _at(s: Column, i: Column) -> Column:
-    return F.substring(F.concat(s, s), F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))
+    return F.substring(s, F.pmod(i, F.lit(128)) + 1, F.lit(1))
 
 
 def _by_class(surface: Column, digits: Column, letters: Column, hexadecimal: Column) -> Column:
     """Each character by one of its class; punctuation stays. Hexadecimal text stays hexadecimal."""
     is_hex = surface.rlike(r"^[0-9a-f]{6,}$")
-    chars = F.split(surface, "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -121,7 +103,7 @@ def _by_class(surface: Column, digits: Column, letters: Column, hexadecimal: Col
         new = F.when(is_hex, _at(hexadecimal, i)).when(c.rlike(r"^\d$"), _at(digits, i)).when(c.rlike(r"^\p{Lu}$"), F.upper(_at(letters, i))).when(c.rlike(r"^\p{L}$"), _at(letters, i)).otherwise(c)
         return F.struct(F.concat(acc["out"], new).alias("out"), (i + F.length(c)).alias("i"))
 
-    return F.aggregate(chars, start, step)["out"]
+    return F.aggregate(F.split(surface, ""), start, step)["out"]
 
 
 def _digits_only(surface: Column, digits: Column) -> Column:
@@ -138,56 +120,79 @@ def _digits_only(surface: Column, digits: Column) -> Column:
 def _luhn(body: Column) -> Column:
     """Check digit of a number without it."""
     n = F.length(body)
-    steps = F.sequence(F.lit(1), n)
 
     def add(acc: Column, i: Column) -> Column:
         d = F.substring(body, n - i + 1, F.lit(1)).cast("int")
-        twice = d * 2
-        return acc + F.when(i % 2 == 1, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(d)
+        return acc + F.when(i % 2 == 0, d).when(d > 4, d * 2 - 9).otherwise(d * 2)
+
+    return ((10 - F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10) % 10).cast("string")
 
-    return ((10 - F.aggregate(steps, F.lit(0), add) % 10) % 10).cast("string")
 
+def _number(h: Column, at: int) -> Column:
+    return F.conv(F.substring(h, at, 4), 16, 10).cast("int")
 
-def _pick(values: list[str], h: Column, at: int) -> Column:
-    index = F.conv(F.substring(h, at, 4), 16, 10).cast("int") % len(values)
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
+def _syllables(script: str, h: Column, at: int, n: int) -> Column:
+    return F.initcap(F.concat(*[F.substring(F.lit(_SYLLABLES[script]), _number(h, at + 4 * i) % 32 * 2 + 1, F.lit(2)) for i in range(n)]))
 
-def _name(key: str, e: Column, attempt: Column) -> Column:
-    bare = _bare(e)
-    title = F.substring(e, 1, F.length(e) - F.length(bare))
-    female, male = title.rlike(rf"^(?:{FEMALE})\.? $"), title.rlike(rf"^(?:{MALE})\.? $")
-    last = F.lower(F.regexp_extract(bare, r"(\p{Lu}\p{Ll}+)$", 1))
-    h, g = _hash(key, F.concat(F.lit("surname:"), last), F.lit(0)), _hash(key, F.concat(F.lit("given:"), F.lower(bare)), attempt)
+
+def _name(x: Column) -> Column:
+    """x: title, bare, a, g (hash of the whole name), s (hash of the surname)."""
+    title, bare, a, g, s = (x[f] for f in ("title", "bare", "a", "g", "s"))
     out = None
     for script in ("latin", "cyrillic"):
-        surname = F.initcap(F.concat(*[_pick(_SYLLABLES[script], h, 1 + 4 * i) for i in range(4)]))
-        given = F.when(female, _pick(_GIVEN["f", script], g, 1)).when(male, _pick(_GIVEN["m", script], g, 1)).otherwise(_pick(_GIVEN["n", script], g, 1))
-        more = F.when(attempt > 0, F.concat(F.lit("-"), F.initcap(F.concat(*[_pick(_SYLLABLES[script], g, 9 + 4 * i) for i in range(3)])))).otherwise(F.lit(""))
+        pick = lambda gender: F.element_at(F.split(F.lit(_GIVEN[gender, script]), " "), _number(g, 1) % 16 + 1)  # noqa: B023, E731
+        given = F.when(title.rlike(rf"^(?:{FEMALE})\.? $"), pick("f")).when(title.rlike(rf"^(?:{MALE})\.? $"), pick("m")).otherwise(pick("n"))
+        surname = _syllables(script, s, 1, 4)
+        more = F.when(a > 0, F.concat(F.lit("-"), _syllables(script, g, 9, 3))).otherwise(F.lit(""))
         whole = F.when(bare.rlike("[ -]"), F.concat(title, given, more, F.lit(" "), surname)).otherwise(F.concat(title, surname, more))
         out = whole if out is None else F.when(bare.rlike(_CYRILLIC), whole).otherwise(out)
     return out
 
 
+def _sha(key: str, *parts: Column) -> Column:
+    return F.sha2(F.concat(F.lit(key), *[F.concat(F.lit("|"), p.cast("string")) for p in parts]).cast("binary"), 256)
+
+
+def surrogates(found: Column, key: str = KEY) -> Column:
+    """Replacements for an array of (e: entity as it stands, a: attempt). Each step's values are bound to
+    a lambda's variable, so nothing is computed twice."""
+    a = F.transform(found, lambda x: F.struct(x["e"].alias("e"), x["a"].alias("a"), kind(x["e"]).alias("k")))
+    b = F.transform(a, lambda x: F.struct(x["e"].alias("e"), x["a"].alias("a"), x["k"].alias("k"), _sha(key, x["a"], _canonical(x["e"], x["k"])).alias("h"), F.when(x["k"] == "name", _bare(x["e"])).alias("bare"), F.when(x["k"] == "secret", _value(x["e"])).alias("value")))
+
+    def third(x: Column) -> Column:
+        h = F.concat(x["h"], F.sha2(x["h"].cast("binary"), 256))
+        plain = F.regexp_replace(x["e"], r"\D", "")
+        last = F.lower(F.regexp_extract(x["bare"], r"(\p{Lu}\p{Ll}+)$", 1))
+        title = F.left(x["e"], F.length(x["e"]) - F.length(x["bare"]))
+        return F.struct(
+            *[x[f].alias(f) for f in ("e", "a", "k", "h", "bare", "value")],
+            h.alias("x"), F.translate(h, "abcdef", "012345").alias("digits"), F.translate(h, "0123456789", "ghijklmnop").alias("letters"), plain.alias("plain"),
+            title.alias("title"), F.when(x["k"] == "name", _sha(key, F.lit("surname"), last)).alias("s"), x["h"].alias("g"),
+        )
+
+    c = F.transform(b, third)
+    d = F.transform(c, lambda x: F.struct(*[x[f].alias(f) for f in ("e", "a", "k", "h", "bare", "value", "x", "digits", "letters", "title", "s", "g")], F.when(x["k"] == "card", F.concat(F.left(x["plain"], F.lit(1)), F.left(x["digits"], F.length(x["plain"]) - 2))).alias("body")))
+
+    def final(x: Column) -> Column:
+        e, k, digits, letters = x["e"], x["k"], x["digits"], x["letters"]
+        at = F.instr(e, "@")
+        email = F.concat(_by_class(F.substring(e, F.lit(1), at - 1), digits, letters, letters), F.lit("@"), F.substring(letters, 65, 8), F.lit(".example."), F.regexp_extract(e, r"\.([A-Za-z]+)$", 1))
+        ip = F.concat_ws(".", *[(_number(x["h"], 1 + 4 * i) % 254 + 1).cast("string") for i in range(4)])
+        where = F.position(x["value"], e)
+        secret = F.concat(F.substring(e, F.lit(1), where - 1), _by_class(x["value"], digits, letters, x["x"]), F.substring(e, where + F.length(x["value"]), F.lit(2)))
+        return (
+            F.when(k == "email", email).when(k == "ip", ip).when(k == "card", _digits_only(e, F.concat(x["body"], _luhn(x["body"])))).when(k == "secret", secret)
+            .when(k.isin("phone", "ssn"), _digits_only(e, digits)).when(k.isin("key", "iban"), F.concat(F.left(e, F.lit(4)), _by_class(F.substring(e, F.lit(5), F.length(e)), digits, letters, letters)))
+            .otherwise(_name(x))
+        )
+
+    return F.transform(d, final)
+
+
 def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
-    """Replacement of an entity as it stands in the text."""
-    k, c = kind(e), canonical(e)
-    digits, letters, hexadecimal = (_stream(key, c, attempt, f) for f in (_digits, _letters, lambda h: h))
-    at = F.instr(e, "@")
-    email = F.concat(_by_class(F.substring(e, F.lit(1), at - 1), digits, letters, letters), F.lit("@"), F.substring(letters, 65, 8), F.lit(".example."), F.regexp_extract(e, r"\.([A-Za-z]+)$", 1))
-    h = _hash(key, c, attempt)
-    ip = F.concat_ws(".", *[(F.conv(F.substring(h, 1 + 4 * i, 4), 16, 10).cast("int") % 254 + 1).cast("string") for i in range(4)])
-    plain = F.regexp_replace(e, r"\D", "")
-    body = F.concat(F.substring(plain, 1, 1), F.substring(digits, F.lit(1), F.length(plain) - 2))
-    card = _digits_only(e, F.concat(body, _luhn(body)))
-    value = _value(e)
-    where = F.instr(e, value)
-    secret = F.concat(F.substring(e, F.lit(1), where - 1), _by_class(value, digits, letters, hexadecimal), F.substring(e, where + F.length(value), F.lit(2)))
-    key_like = F.concat(F.substring(e, 1, 4), _by_class(F.substring(e, F.lit(5), F.length(e)), digits, letters, letters))
-    return (
-        F.when(k == "email", email).when(k == "ip", ip).when(k == "card", card).when(k == "secret", secret)
-        .when(k.isin("phone", "ssn"), _digits_only(e, digits)).when(k.isin("key", "iban"), key_like).otherwise(_name(key, e, attempt))
-    )
+    """Replacement of one entity as it stands in the text."""
+    return surrogates(F.array(F.struct(e.alias("e"), attempt.alias("a"))), key)[0]
 
 
 def _collisions(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFrame | None:
@@ -195,7 +200,7 @@ def _collisions(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFra
     current = entities.withColumn("attempt", F.lit(0))
     any_bumped = False
     for _ in range(most_rounds):
-        made = common.stored(current.withColumn("s", canonical(surrogate(F.col("surface"), F.col("attempt"), key))), "surrogates")
+        made = common.stored(current.withColumn("s", surrogate(F.col("surface"), F.col("attempt"), key)), "surrogates").withColumn("s", canonical(F.col("s")))
         meet = made.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("canon").alias("stays"))
         real = entities.select(F.col("canon").alias("s"), F.lit(True).alias("real"))
         checked = made.join(meet.where("m > 1"), "s", "left").join(real, "s", "left")
@@ -225,7 +230,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
         attempt = lambda e: F.coalesce(F.element_at("_m", e), F.lit(0))
     else:
         attempt = lambda e: F.lit(0)
-    new = F.transform("_e", lambda e: surrogate(e, attempt(e), key))
+    new = surrogates(F.transform("_e", lambda e: F.struct(e.alias("e"), attempt(e).alias("a"))), key)
     pieces = F.zip_with(F.split("text", PATTERN, -1), new, lambda s, e: F.concat(s, F.coalesce(e, F.lit(""))))
     text = F.when(F.size("_e") == 0, F.col("text")).otherwise(F.array_join(pieces, ""))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size("_e").alias("n_entities"))
