@@ -127,13 +127,13 @@ def regexp_replace_first(x, pattern: str, replacement: str) -> Column:
         c = replacement[i]
         if c == "\\" and i + 1 < len(replacement) and replacement[i + 1].isdigit():
             d = int(replacement[i + 1])
-            out += f"${d + 1}" if d else f"${groups + 3}"
+            out += f"${d + 2}"
             i += 2
             continue
         out += "\\$" if c == "$" else "\\\\" if c == "\\" else c
         i += 1
-    shifted = re.sub(r"(?<!\\)\\(\d)", lambda m: f"\\{int(m[1]) + 1}", pattern)
-    return F.regexp_replace(_c(x), rf"^([\s\S]*?)(?:{shifted})([\s\S]*)$", "$1" + out + f"${groups + 2}")
+    shifted = re.sub(r"(?<!\\)\\(\d)", lambda m: f"\\{int(m[1]) + 2}", pattern)
+    return F.regexp_replace(_c(x), rf"^([\s\S]*?)({shifted})([\s\S]*)$", "$1" + out + f"${groups + 3}")
 
 
 # -- dates and times ------------------------------------------------------------------------------
