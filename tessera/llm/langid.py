@@ -124,7 +124,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS)
     """Fit on labelled rows (doc_id, text, lang)."""
     spark = labelled.sparkSession
     common.ship(spark)
-    usable = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    usable = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Model(np.zeros((0, bins), np.float32), [], bins)
