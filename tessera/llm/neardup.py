@@ -4,7 +4,8 @@ A document's set is its distinct k-word shingles; documents with equal sets form
 of the set), so copies are never compared. Each class has POSITIONS minhash values. A tree branches the
 classes: at its root by one chosen minwise value, below, in every node with more than ``leaf`` classes, by
 two values chosen from the node's own hash, down to ``depth``. Small nodes are compared exhaustively by
-their minhash values; all members of a node that is still large at full depth count as alike. Trees are
+their minhash values; a large node most of whose members look like its first, or one that is still large
+at full depth, counts as one group. Trees are
 independent and repeated until the chance to part a pair at the threshold in all of them is below 1e-6.
 
 What shares a node and looks alike forms loose components; every true link lies inside one. Links are
@@ -30,13 +31,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-POSITIONS, TREES, LEAF, DEPTH, BLOCK, HUBS = 64, 10, 48, 4, 256, 4
-#: Equal minhash values, of 64, below which a pair is not alike: five deviations under a pair of 0.8.
-ALIKE = 36
+POSITIONS, TREES, LEAF, DEPTH, BLOCK, HUBS = 64, 10, 48, 2, 768, 4
 _MULT = np.random.default_rng(977).integers(1, 2**63, POSITIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(978).integers(0, 2**63, POSITIONS, dtype=np.uint64)
 
 
+def alike_least(num: int, den: int) -> int:
+    """Equal minhash values below which a pair is not alike: five deviations under a pair at the threshold."""
+    t = num / den
+    return max(1, int(POSITIONS * t - 5 * (POSITIONS * t * (1 - t)) ** 0.5))
+
+
 def minhash(h: np.ndarray) -> np.ndarray:
     """POSITIONS 32-bit minhash values of a set of 64-bit hashes."""
     out = np.full(POSITIONS, 2**64 - 1, np.uint64)
@@ -94,6 +99,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def alike(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Star edges (u, v) of the groups of alike members inside each small node (node, id, n, sketch)."""
+    least = alike_least(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "node"):
@@ -106,44 +112,71 @@ def alike(nodes: DataFrame, num: int, den: int) -> DataFrame:
                 if m < 2:
                     continue
                 s, n = sketch[a:b], size[a:b]
-                ok = (s[:, None, :] == s[None, :, :]).sum(axis=2) >= ALIKE if m <= 512 else np.ones((m, m), bool)
+                if m == 2:  # most nodes
+                    if (s[0] == s[1]).sum() >= least and den * n.min() >= num * n.max():
+                        us.append(ids[a + 1 : b])
+                        vs.append(ids[a : a + 1])
+                    continue
+                ok = (s[:, None, :] == s[None, :, :]).sum(axis=2) >= least
                 ok &= den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])
-                for i in range(m - 1):
-                    j = np.flatnonzero(ok[i, i + 1 :]) + i + 1
-                    if len(j):
-                        us.append(np.full(len(j[:1]), ids[a + i]))
-                        vs.append(ids[a + j[:1]])
-                        for x in j[1:]:  # link each once to its nearest alike predecessor only
-                            if not ok[i + 1 : x, x].any():
-                                us.append(np.array([ids[a + i]]))
-                                vs.append(np.array([ids[a + x]]))
+                label = np.arange(m)
+                while True:
+                    low = np.where(ok, label[None, :], m).min(axis=1)
+                    if (low == label).all():
+                        break
+                    label = low
+                far = np.flatnonzero(label != np.arange(m))
+                us.append(ids[a + far])
+                vs.append(ids[a + label[far]])
             u, v = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return nodes.mapInArrow(run, "u long, v long")
 
 
+def _agreements(a: str, b: str):
+    """Equal minhash values of two sketches."""
+    values = [F.substring(F.col(a), 4 * i + 1, 4) == F.substring(F.col(b), 4 * i + 1, 4) for i in range(POSITIONS)]
+    total = F.lit(0)
+    for v in values:
+        total = total + v.cast("int")
+    return total
+
+
 def loose_edges(classes: DataFrame, num: int, den: int, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Edges between classes (id, n, sketch) that share a node and look alike."""
+    """Edges between classes (id, n, sketch) that share a node and look alike.
+
+    Nodes are told apart on (node, id) alone; sketches go only to members of nodes of two and more. A large
+    node most of whose members look like its first is one group: all its members are linked to it."""
     seeds = np.random.default_rng(31).permutation(POSITIONS)[:trees]
-    nodes = classes.select("id", "n", "sketch", F.explode(F.array(*[F.xxhash64(F.lit(t), _value(int(p))) for t, p in enumerate(seeds)])).alias("node"))
-    found = None
+    nodes = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), _value(int(p))) for t, p in enumerate(seeds)])).alias("node"))
+    pool, found = classes, []
     for level in range(depth + 1):
-        # who is alone in a node is settled on (node, id) before any sketch moves
-        counted = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1")
-        level_counts = common.stored(counted, "nodes")
-        members = nodes.join(level_counts, "node")
-        small = members.where(F.col("m") <= leaf).select("node", "id", "n", "sketch").repartition("node").sortWithinPartitions("node", "id")
-        edges = alike(small, num, den)
-        big = level_counts.where(F.col("m") > leaf)
+        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1")
+        members = nodes.join(counts, "node").select("node", "id", "m", "first")
+        # one join hands out the sketches; a class in many nodes has them side by side, which files keep small
+        held = common.stored(members.join(pool.hint("merge"), "id").select("node", "id", "m", "first", "n", "sketch"), "members")
+        small = held.where(F.col("m") <= leaf).select("node", "id", "n", "sketch")
+        found.append(common.stored(alike(small.repartition("node").sortWithinPartitions("node", "id"), num, den).distinct(), "alike"))
+        large = held.where(F.col("m") > leaf)
+        to_first = large.where("id <> first").select("node", F.col("id").alias("u"), F.col("first").alias("v"))
         if level == depth:
-            edges = edges.unionByName(members.where((F.col("m") > leaf) & (F.col("id") != F.col("first"))).select(F.col("id").alias("u"), F.col("first").alias("v")))
-        found = edges if found is None else found.unionByName(edges)
-        if level == depth or big.isEmpty():
+            found.append(to_first.select("u", "v"))
+            break
+        firsts = large.where("id = first").select("node", F.col("sketch").alias("_of"))
+        near = large.join(firsts, "node").groupBy("node").agg(F.avg((_agreements("sketch", "_of") >= alike_least(num, den)).cast("int")).alias("near"))
+        near = common.stored(near.select("node", (F.col("near") >= 0.8).alias("one")), "near")
+        if near.isEmpty():
             break
+        found.append(to_first.join(near.where("one"), "node", "left_semi").select("u", "v"))
         chosen = [F.pmod(F.xxhash64(F.lit(level * 2 + i), "node"), F.lit(POSITIONS)).cast("int") for i in range(2)]
-        nodes = common.stored(members.where(F.col("m") > leaf).select("id", "n", "sketch", F.explode(F.array(*[F.xxhash64("node", F.lit(i), _value(c)) for i, c in enumerate(chosen)])).alias("node")), "level")
-    return found.distinct()
+        rest = large.join(near.where("not one"), "node", "left_semi")
+        split = common.stored(rest.select("id", "n", "sketch", F.explode(F.array(*[F.xxhash64("node", F.lit(i), _value(c)) for i, c in enumerate(chosen)])).alias("node")), "level")
+        nodes, pool = split.select("id", "node"), split.select("id", "n", "sketch").dropDuplicates(["id"])
+    out = found[0]
+    for edges in found[1:]:
+        out = out.unionByName(edges)
+    return out
 
 
 def _links(table: pa.Table, k: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -151,7 +184,7 @@ def _links(table: pa.Table, k: int, num: int, den: int) -> list[tuple[int, int]]
     ids, part, side = (table.column(c).to_pylist() for c in ("id", "part", "side"))
     texts = table.column("text")
     order = sorted(range(len(ids)), key=lambda i: (ids[i], side[i]))
-    order = [i for n, i in enumerate(order) if not n or ids[order[n - 1]] != ids[i]]
+    order = [i for n, i in enumerate(order) if not n or (ids[order[n - 1]], side[order[n - 1]]) != (ids[i], side[i])]
     top = list(range(len(order)))
 
     def root(x: int) -> int:
@@ -164,15 +197,19 @@ def _links(table: pa.Table, k: int, num: int, den: int) -> list[tuple[int, int]]
     for x, i in enumerate(order):
         top[x] = by_part.setdefault(part[i], x)
     sets = [common.shingle_hashes(texts[i].as_py().encode("utf-8", "replace"), k) for i in order]
+    n, least = np.array([len(x) for x in sets]), alike_least(num, den)
+    sketch = np.array([minhash(x) for x in sets])
+    sides = np.array([side[i] for i in order])
     out = []
     for y in range(1, len(order)):
+        near = ((sketch[:y] == sketch[y]).sum(axis=1) >= least) & (den * np.minimum(n[:y], n[y]) >= num * np.maximum(n[:y], n[y]))
+        if sides[y]:
+            near &= sides[:y] != sides[y]
         b = sets[y]
-        for x in range(y):
-            if side[order[x]] and side[order[y]] and side[order[x]] == side[order[y]] == 2:
+        for x in np.flatnonzero(near).tolist():
+            if root(x) == root(y):
                 continue
             a = sets[x]
-            if den * min(len(a), len(b)) < num * max(len(a), len(b)) or root(x) == root(y):
-                continue
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             at = np.searchsorted(large, small)
             at[at == len(large)] = 0
@@ -183,8 +220,8 @@ def _links(table: pa.Table, k: int, num: int, den: int) -> list[tuple[int, int]]
     return out
 
 
-def confirm(tasks: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) found in tasks (task, id, part, side); side 2 is not compared with side 2."""
+def confirm(tasks: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) found in tasks (task, id, part, side); classes of one side other than 0 are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "task"):
@@ -195,7 +232,6 @@ def confirm(tasks: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
                 out += _links(table.slice(a, b - a), k, num, den)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
 
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     full = tasks.join(texts, "id").select("task", "id", "part", "side", "text")
     return full.repartition("task").sortWithinPartitions("task", "id").mapInArrow(run, "u long, v long")
 
@@ -208,12 +244,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     loose = common.components(loose_edges(classes.select("id", "n", "sketch"), num, den), "loose")
     count = loose.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     dealt = common.stored(loose.join(count, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block).cast("long"))), "dealt")
+    # the one time whole texts move: those of loose components, for both rounds
+    whole = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = common.stored(whole.join(dealt.select("id").hint("merge"), "id", "left_semi"), "texts")
     task = F.xxhash64("component", "block")
-    base = dealt.select(task.alias("task"), "id", F.col("id").alias("part"), F.lit(1).alias("side"))
+    base = dealt.select(task.alias("task"), "id", F.col("id").alias("part"), F.lit(0).alias("side"))
     large = dealt.where(F.col("m") > block)
     hubs = large.groupBy("component").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("block") == 0, F.col("id")))), 1, HUBS).alias("hubs"))
-    rounds = [base, hubs.join(large.select("component", "block").distinct(), "component").select(task.alias("task"), F.explode("hubs").alias("id")).select("task", "id", F.col("id").alias("part"), F.lit(1).alias("side"))]
-    links = common.stored(confirm(rounds[0].unionByName(rounds[1]), docs, k, num, den), "links")
+    rounds = [base, hubs.join(large.select("component", "block").distinct(), "component").select(task.alias("task"), F.explode("hubs").alias("id")).select("task", "id", F.col("id").alias("part"), F.lit(0).alias("side"))]
+    links = common.stored(confirm(rounds[0].unionByName(rounds[1]), texts, k, num, den), "links")
     found = common.components(links, "linked")
     if not large.isEmpty():
         parts = common.stored(large.join(found.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
@@ -227,7 +266,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         key = F.xxhash64(F.lit(2), "component", "chunk", "block")
         asked = outside.select("component", "chunk", "id", "part").join(blocks, "component").select(key.alias("task"), "id", "part", F.lit(1).alias("side"))
         met = split.select("component", "block", "id", "part").join(pairs, ["component", "block"]).select(key.alias("task"), "id", "part", F.lit(2).alias("side"))
-        links = links.unionByName(common.stored(confirm(asked.unionByName(met), docs, k, num, den), "links"))
+        links = links.unionByName(common.stored(confirm(asked.unionByName(met), texts, k, num, den), "links"))
         found = common.components(links, "linked")
     of_class = common.stored(classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "of-class")
     return sketched.join(of_class, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
@@ -235,4 +274,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def op10_chosen_path(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.tables(spark, sf_dir, "documents"), 3, 85, 100)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
