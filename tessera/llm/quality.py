@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             x = np.array([counts(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(x), pa.float64())], names=names)
 

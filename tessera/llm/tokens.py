@@ -44,19 +44,18 @@ class WordTokenizer:
         self.simple = regex.compile(_SIMPLE).fullmatch
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.words.get(piece)  # the pattern cuts a piece into itself, so a piece is a word too
         if found is None:
-            found = self.pieces[piece] = b"".join(map(self.id_bytes.__getitem__, self.merge(piece.encode() + b"\xff")))
+            found = self.words[piece] = b"".join(map(self.id_bytes.__getitem__, self.merge(piece.encode() + b"\xff")))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null and empty: none."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words, self.pieces = {"": b""}, {}
+            self.words = {"": b""}
         words, odd = self.words, []
         for w in set().union(*split) - words.keys():
             if self.simple(w):
