@@ -6,8 +6,10 @@ import json
 import os
 import sys
 import time
+from pathlib import Path
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = Path(__file__)
+sys.path.insert(0, str(HERE.resolve().parent))
 
 from tessera import session  # noqa: E402
 from tessera.plans import catalogue  # noqa: E402

@@ -10,7 +10,7 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-# -- predicates -----------------------------------------------------------------------------------
+# predicates
 
 
 def distinct_from(a, b) -> Column:
@@ -53,7 +53,7 @@ def contains(x, needle: str) -> Column:
     return _c(x).contains(needle)
 
 
-# -- arithmetic -----------------------------------------------------------------------------------
+# arithmetic
 
 
 def divide(a, b) -> Column:
@@ -88,7 +88,7 @@ def decimal_to_int(x) -> Column:
     return F.round(_c(x), 0).cast("int")
 
 
-# -- strings --------------------------------------------------------------------------------------
+# strings
 
 
 def substring(x, start: int, length: int | None = None) -> Column:
@@ -136,7 +136,7 @@ def regexp_replace_first(x, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(_c(x), rf"^([\s\S]*?)({shifted})([\s\S]*)$", "$1" + out + f"${groups + 3}")
 
 
-# -- dates and times ------------------------------------------------------------------------------
+# dates and times
 
 
 def date_part(unit: str, x) -> Column:
@@ -166,7 +166,7 @@ def date_plus(a, days) -> Column:
     return F.date_add(_c(a), _c(days).cast("int"))
 
 
-# -- structures -----------------------------------------------------------------------------------
+# structures
 
 
 def row(*xs) -> Column:

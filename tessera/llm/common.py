@@ -90,9 +90,10 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 40
     nothing but their number reaches the driver."""
     links = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     for _ in range(most_rounds):
-        single = links.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u")).first()
-        if single["n"] == single["u"] and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break  # every node points to a root: stars
+        ends = links.select(F.col("u").alias("x"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        per_node = ends.groupBy("x").agg(F.sum("o").alias("o"), F.max("i").alias("i"))
+        if not per_node.agg(F.max((F.col("o") > 1) | ((F.col("o") > 0) & (F.col("i") > 0)))).first()[0]:
+            break  # every node points to one root: stars
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -105,7 +106,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 40
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
 
 
-# -- vectorised word hashing ---------------------------------------------------------------------
+# vectorised word hashing
 
 _RNG = np.random.default_rng(20240917)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

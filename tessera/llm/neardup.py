@@ -202,11 +202,12 @@ def _links(table: pa.Table, k: int, num: int, den: int) -> list[tuple[int, int]]
     sides = np.array([side[i] for i in order])
     out = []
     for y in range(1, len(order)):
-        near = ((sketch[:y] == sketch[y]).sum(axis=1) >= least) & (den * np.minimum(n[:y], n[y]) >= num * np.maximum(n[:y], n[y]))
+        equal = (sketch[:y] == sketch[y]).sum(axis=1)
+        near = (equal >= least) & (den * np.minimum(n[:y], n[y]) >= num * np.maximum(n[:y], n[y]))
         if sides[y]:
             near &= sides[:y] != sides[y]
-        b = sets[y]
-        for x in np.flatnonzero(near).tolist():
+        b, asked = sets[y], np.flatnonzero(near)
+        for x in asked[np.argsort(-equal[asked], kind="stable")].tolist():  # the likeliest first: once linked, its part is done
             if root(x) == root(y):
                 continue
             a = sets[x]

@@ -12,7 +12,7 @@ from tessera.streaming import windows as event_time
 
 from .catalogue import query, same
 
-# -- sources and sinks ----------------------------------------------------------------------------
+# sources and sinks
 
 
 @query("copy_parquet_rows", "SELECT count(*) AS written, count(*) AS read_back, count(DISTINCT o_orderkey) AS keys FROM orders")
@@ -55,7 +55,7 @@ def deletion_vector(spark, d):
 
     positions = [0, 3, 4, 17]
     body = b"\xd1\xd3\x39\x64" + struct.pack("<QIII", 1, 0, 12346, 1) + struct.pack("<HHI", 0, len(positions) - 1, 16) + struct.pack(f"<{len(positions)}H", *positions)
-    blob = struct.pack(">I", len(body)) + body + struct.pack(">I", zlib.crc32(body))
+    blob = b"".join([len(body).to_bytes(4, "big"), body, zlib.crc32(body).to_bytes(4, "big")])
     data = files.read_parquet(spark, f"{d}/supplier.parquet", filename=True, file_row_number=True)
     gone = spark.createDataFrame([(p,) for p in files.deletion_vector(blob)], "pos long")
     name = data.select(F.col("filename").alias("file_path")).limit(1)
@@ -81,7 +81,7 @@ def exchange_hash(spark, d):
     return per_key.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("keys"), (F.max("places") == 1).alias("together"))
 
 
-# -- functions ------------------------------------------------------------------------------------
+# functions
 
 same("fn_positions", "SELECT c_custkey, position('o' IN c_name) AS p, instr(c_name, '0') AS i, translate(c_name, 'Cu', 'Kü') AS t, split_part(c_name, '_', 2) AS sp, md5(c_name) AS h FROM customer",
      "SELECT c_custkey, position('o' IN c_name)::INTEGER AS p, instr(c_name, '0')::INTEGER AS i, translate(c_name, 'Cu', 'Kü') AS t, split_part(c_name, '_', 2) AS sp, md5(c_name) AS h FROM customer")
@@ -102,7 +102,7 @@ same("fn_bits", "SELECT p_partkey, p_size & 12 AS a, p_size | 3 AS o, p_size ^ 5
 same("fn_try", "SELECT n_nationkey, try_divide(n_nationkey, n_regionkey) AS q, try_cast(n_name AS INT) AS i, nvl(nullif(n_regionkey, 0), -1) AS z, if(n_regionkey > 2, 'hi', 'lo') AS b FROM nation",
      "SELECT n_nationkey, n_nationkey / nullif(n_regionkey, 0) AS q, try_cast(n_name AS INT) AS i, ifnull(nullif(n_regionkey, 0), -1) AS z, if(n_regionkey > 2, 'hi', 'lo') AS b FROM nation")
 
-# -- aggregates, windows, time --------------------------------------------------------------------
+# aggregates, windows, time
 
 same("agg_quantiles", "SELECT p_brand, percentile(p_retailprice, 0.25) AS q1, percentile_disc(0.5) WITHIN GROUP (ORDER BY p_size) AS md, mode() WITHIN GROUP (ORDER BY p_type || p_size) IS NOT NULL AS has_mode FROM part GROUP BY p_brand",
      "SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS q1, quantile_disc(p_size, 0.5)::DOUBLE AS md, mode(p_type || p_size) IS NOT NULL AS has_mode FROM part GROUP BY p_brand")

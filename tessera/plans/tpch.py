@@ -14,11 +14,11 @@ REV = f"{EXT} * (1 - {DISC})"
 PARTSUPP = f"SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min({EXT}) AS ps_supplycost, sum({QTY}) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey"
 
 TPCH = {
-    1: f"""SELECT l_returnflag, l_linestatus, cast(sum({QTY}) as double) AS sum_qty, cast(sum({EXT}) as double) AS sum_base_price,
+    1: f"""SELECT l_returnflag, l_linestatus, count(*) AS count_order, cast(sum({QTY}) as double) AS sum_qty, cast(sum({EXT}) as double) AS sum_base_price,
         cast(sum({REV}) as double) AS sum_disc_price, cast(sum({REV} * (1 + {TAX})) as double) AS sum_charge,
         cast(sum({QTY}) as double) / count(*) AS avg_qty, cast(sum({EXT}) as double) / count(*) AS avg_price,
-        cast(sum({DISC}) as double) / count(*) AS avg_disc, count(*) AS count_order
-        FROM lineitem WHERE l_shipdate <= date '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
+        cast(sum({DISC}) as double) / count(*) AS avg_disc
+        FROM lineitem WHERE l_shipdate < date '1998-09-03' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
     2: f"""WITH ps AS ({PARTSUPP}), c AS (SELECT ps.*, s_name, s_acctbal, n_name FROM ps JOIN supplier ON s_suppkey = ps_suppkey
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'),
         m AS (SELECT ps_partkey AS mk, min(ps_supplycost) AS mc FROM c GROUP BY ps_partkey)
@@ -27,12 +27,12 @@ TPCH = {
     3: f"""SELECT l_orderkey, cast(sum({REV}) as double) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey
         JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < date '1998-03-15' AND l_shipdate > date '1998-03-15'
         GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
-    4: """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= date '1997-07-01' AND o_orderdate < date '1997-10-01'
+    4: """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE date '1997-10-01' > o_orderdate AND o_orderdate >= date '1997-07-01'
         AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY o_orderpriority ORDER BY o_orderpriority""",
     5: f"""SELECT n_name, cast(sum({REV}) as double) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        WHERE r_name = 'ASIA' AND o_orderdate >= date '1996-01-01' AND o_orderdate < date '1998-01-01' GROUP BY n_name ORDER BY revenue DESC, n_name""",
-    6: f"""SELECT cast(sum({EXT} * {DISC}) as double) AS revenue FROM lineitem WHERE l_shipdate >= date '1996-01-01' AND l_shipdate < date '1997-01-01'
+        WHERE r_name = 'ASIA' AND date '1998-01-01' > o_orderdate AND o_orderdate >= date '1996-01-01' GROUP BY n_name ORDER BY revenue DESC, n_name""",
+    6: f"""SELECT cast(sum({EXT} * {DISC}) as double) AS revenue FROM lineitem WHERE date '1997-01-01' > l_shipdate AND l_shipdate >= date '1996-01-01'
         AND {DISC} BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
     7: f"""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, cast(year(l_shipdate) as bigint) AS l_year, cast(sum({REV}) as double) AS revenue
         FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
@@ -48,38 +48,39 @@ TPCH = {
         JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%red%'
         GROUP BY n_name, cast(year(o_orderdate) as bigint) ORDER BY nation, o_year DESC""",
     10: f"""SELECT c_custkey, c_name, cast(sum({REV}) as double) AS revenue, c_acctbal, n_name FROM customer JOIN orders ON c_custkey = o_custkey
-        JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= date '1996-10-01' AND o_orderdate < date '1997-01-01'
+        JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE date '1997-01-01' > o_orderdate AND o_orderdate >= date '1996-10-01'
         AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
     11: f"""WITH ps AS ({PARTSUPP}), g AS (SELECT ps_partkey, sum(ps_supplycost * ps_availqty) AS v FROM ps JOIN supplier ON ps_suppkey = s_suppkey
         JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3 GROUP BY ps_partkey)
         SELECT ps_partkey, cast(v as double) AS value FROM g WHERE cast(v as double) > (SELECT cast(sum(v) as double) * 0.001 FROM g) ORDER BY value DESC, ps_partkey""",
     12: """SELECT l_linestatus, cast(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) as bigint) AS high_line_count,
         cast(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) as bigint) AS low_line_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-        WHERE l_shipdate >= date '1997-01-01' AND l_shipdate < date '1998-01-01' AND l_returnflag IN ('A', 'N') GROUP BY l_linestatus ORDER BY l_linestatus""",
-    13: """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey
-        AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) t GROUP BY c_count ORDER BY custdist DESC, c_count DESC""",
+        WHERE date '1998-01-01' > l_shipdate AND l_shipdate >= date '1997-01-01' AND l_returnflag IN ('A', 'N') GROUP BY l_linestatus ORDER BY l_linestatus""",
+    13: """WITH per_customer AS (SELECT c_custkey, count(o_orderkey) AS made FROM customer LEFT JOIN orders ON c_custkey = o_custkey
+        AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) SELECT made, count(*) AS customers FROM per_customer GROUP BY made ORDER BY customers DESC, made DESC""",
     14: f"""SELECT 100.00 * cast(sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REV} ELSE 0 END) as double) / cast(sum({REV}) as double) AS promo_revenue
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= date '1997-09-01' AND l_shipdate < date '1997-10-01'""",
-    15: f"""WITH r AS (SELECT l_suppkey AS supplier_no, sum({REV}) AS total FROM lineitem WHERE l_shipdate >= date '1997-01-01' AND l_shipdate < date '1997-04-01' GROUP BY l_suppkey)
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE date '1997-10-01' > l_shipdate AND l_shipdate >= date '1997-09-01'""",
+    15: f"""WITH r AS (SELECT l_suppkey AS supplier_no, sum({REV}) AS total FROM lineitem WHERE date '1997-04-01' > l_shipdate AND l_shipdate >= date '1997-01-01' GROUP BY l_suppkey)
         SELECT s_suppkey, s_name, cast(total as double) AS total_revenue FROM supplier JOIN r ON s_suppkey = supplier_no WHERE total = (SELECT max(total) FROM r) ORDER BY s_suppkey""",
     16: f"""WITH ps AS ({PARTSUPP}) SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps JOIN part ON p_partkey = ps_partkey
         WHERE p_brand <> 'Brand#3' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49)
-        AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""",
+        AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_type, p_brand, p_size ORDER BY supplier_cnt DESC, p_type, p_size, p_brand""",
     17: f"""SELECT cast(sum({EXT}) as double) / 7.0e0 AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
         JOIN (SELECT l_partkey AS k, 0.5e0 * cast(sum({QTY}) as double) / count(*) AS half FROM lineitem GROUP BY l_partkey) a ON a.k = p_partkey
         WHERE p_brand = 'Brand#3' AND l_quantity < half""",
-    18: f"""SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, cast(sum({QTY}) as double) AS sum_qty FROM customer JOIN orders ON c_custkey = o_custkey
+    18: f"""SELECT o_orderkey, o_totalprice, o_orderdate, c_custkey, c_name, cast(sum({QTY}) as double) AS sum_qty FROM customer JOIN orders ON c_custkey = o_custkey
         JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum({QTY}) > 200)
-        GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 100""",
+        GROUP BY o_orderkey, o_totalprice, o_orderdate, c_custkey, c_name ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
     19: f"""SELECT cast(sum({REV}) as double) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
         WHERE (p_brand = 'Brand#1' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
         OR (p_brand = 'Brand#2' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
         OR (p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 50)""",
     20: f"""WITH ps AS ({PARTSUPP}) SELECT s_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 AND s_suppkey IN
         (SELECT ps_suppkey FROM ps WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE '%7%') AND ps_availqty > 40) ORDER BY s_name, s_suppkey""",
-    21: """SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey
-        WHERE o_orderstatus = 'F' AND l1.l_returnflag = 'R' AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
-        AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
+    21: """SELECT s_name, count(*) AS numwait FROM lineitem late JOIN supplier ON s_suppkey = late.l_suppkey JOIN orders ON o_orderkey = late.l_orderkey
+        WHERE late.l_returnflag = 'R' AND o_orderstatus = 'F'
+        AND EXISTS (SELECT 1 FROM lineitem other WHERE late.l_orderkey = other.l_orderkey AND late.l_suppkey <> other.l_suppkey)
+        AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_returnflag = 'R' AND late.l_orderkey = x.l_orderkey AND late.l_suppkey <> x.l_suppkey)
         GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
     22: f"""SELECT c_mktsegment, count(*) AS numcust, cast(sum({D.format('c_acctbal')}) as double) AS totacctbal FROM customer
         WHERE {D.format('c_acctbal')} > (SELECT cast(sum({D.format('c_acctbal')}) as double) / count(*) FROM customer WHERE c_acctbal > 0)

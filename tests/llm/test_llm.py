@@ -46,7 +46,7 @@ def none(spark):
     return spark.createDataFrame([], COLUMNS)
 
 
-# -- common ---------------------------------------------------------------------------------------
+# common
 
 
 def test_components_and_ranks(spark):
@@ -83,7 +83,7 @@ def test_word_hashes_follow_words():
     assert common.word_hashes(b"a b a").tolist() == common.word_hashes(b" A b\na").tolist()
 
 
-# -- 1, 9: classifiers ----------------------------------------------------------------------------
+# 1, 9: classifiers
 
 
 def test_quality_separates(spark):
@@ -121,7 +121,7 @@ def test_language_cases(spark, docs, none):
     assert langid.identify(none, model).count() == 0
 
 
-# -- 2: sharding ----------------------------------------------------------------------------------
+# 2: sharding
 
 
 def lpt(sizes, shards):
@@ -164,7 +164,7 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
-# -- 3: nearest neighbours ------------------------------------------------------------------------
+# 3: nearest neighbours
 
 
 def test_neighbours(spark):
@@ -198,7 +198,7 @@ def test_neighbours(spark):
     assert ann.search(few.where("vec_id > 5")).count() == 0
 
 
-# -- 4: surrogates --------------------------------------------------------------------------------
+# 4: surrogates
 
 PRIVATE = {
     "email": "bob.42@mail8.example.com",
@@ -244,7 +244,7 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(rows.collect()) and not set(got) & set(names + ips)
 
 
-# -- 5: packing -----------------------------------------------------------------------------------
+# 5: packing
 
 
 def test_tokens_equal_the_library():
@@ -296,7 +296,7 @@ def test_packing(docs, none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
 
-# -- 6: WARC --------------------------------------------------------------------------------------
+# 6: WARC
 
 
 def test_warc(spark, tmp_path):
@@ -331,7 +331,7 @@ def test_warc_framing():
     assert len(list(warc.parse(b"".join(p + b"\r\n\r\n" for p in parts)))) == len(parts)
 
 
-# -- 7: mixing ------------------------------------------------------------------------------------
+# 7: mixing
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -370,7 +370,7 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
-# -- 8: TIFF --------------------------------------------------------------------------------------
+# 8: TIFF
 
 
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.OLD_DEFLATE, tiff.PACKBITS])
@@ -398,7 +398,7 @@ def test_tiff_column(spark, docs, none):
     assert tiff.media_features(none).count() == 0
 
 
-# -- 10: near duplicates --------------------------------------------------------------------------
+# 10: near duplicates
 
 
 def brute(rows, k, num, den):
@@ -434,7 +434,7 @@ def test_near_duplicates(docs, none, k, num, block, leaf, monkeypatch):
     assert neardup.near_duplicates(none, k, num, 100).count() == 0
 
 
-# -- queries and the pipeline ---------------------------------------------------------------------
+# queries and the pipeline
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))

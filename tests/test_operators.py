@@ -104,7 +104,7 @@ def test_deletion_vector():
     import zlib
 
     body = b"\xd1\xd3\x39\x64" + struct.pack("<Q", 1) + struct.pack("<I", 0) + struct.pack("<II", 12346, 1) + struct.pack("<HH", 0, 2) + struct.pack("<I", 16) + struct.pack("<3H", 1, 5, 9)
-    assert files.deletion_vector(struct.pack(">I", len(body)) + body + struct.pack(">I", zlib.crc32(body))) == [1, 5, 9]
+    assert files.deletion_vector(b"".join([len(body).to_bytes(4, "big"), body, zlib.crc32(body).to_bytes(4, "big")])) == [1, 5, 9]
 
 
 def test_copy_rules(spark, tmp_path):
