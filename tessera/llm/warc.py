@@ -86,20 +86,61 @@ def records_of(row: str, page_id: int | None, url: str | None, payload: bytes, f
     return out
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive."""
-    at, end = 0, len(data)
-    while at < end:
-        if data[at : at + 2] == b"\r\n":
+def unpacked(packed: bytes, step: int = 1 << 18, most: int = 1 << 22) -> Iterator[bytes]:
+    """Bytes of a gzip file of any number of members, at most ``most`` at once."""
+    import zlib
+
+    member = None
+    for at in range(0, len(packed), step):
+        piece = packed[at : at + step]
+        while piece:
+            member = member or zlib.decompressobj(31)
+            yield member.decompress(piece, most)
+            piece = member.unconsumed_tail or member.unused_data
+            if member.eof:
+                member = None
+    if member is not None:
+        yield member.flush()
+        if not member.eof:
+            raise ValueError("the archive is cut off")
+
+
+def parse(source: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record of an archive, given whole or in pieces; one record and one
+    piece are held at a time."""
+    pieces, held, at = iter([source] if isinstance(source, bytes) else source), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        held.extend(piece)
+        at = 0
+        return True
+
+    while True:
+        while len(held) - at < 5 and more():
+            pass
+        if at >= len(held):
+            return
+        if held[at : at + 2] == b"\r\n":
             at += 2
             continue
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        stop = data.index(b"\r\n\r\n", at)
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:])}
+        if held[at : at + 5] != b"WARC/":
+            raise ValueError("no record where one should begin")
+        while held.find(b"\r\n\r\n", at) < 0:
+            if not more():
+                raise ValueError("a record's header is cut off")
+        size = held.find(b"\r\n\r\n", at) - at
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in held[at : at + size].decode("utf-8", "replace").split("\r\n")[1:])}
         n = int(fields["content-length"])
-        yield fields, data[stop + 4 : stop + 4 + n]
-        at = stop + 4 + n
+        while len(held) - at < size + 4 + n:
+            if not more():
+                raise ValueError(f"{fields.get('warc-record-id')}: the record is cut off")
+        yield fields, bytes(held[at + size + 4 : at + size + 4 + n])
+        at += size + 4 + n
 
 
 def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, per_archive: int = PER_ARCHIVE) -> None:
@@ -148,17 +189,10 @@ def read(spark, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for blob in batch.column(0):
-                data, packed = [], blob.as_py()
-                while packed:
-                    member = zlib.decompressobj(31)
-                    data.append(member.decompress(packed))
-                    packed = member.unused_data
-                rows = []
-                for fields, block in parse(b"".join(data)):
+                rows, held = [], 0
+                for fields, block in parse(unpacked(blob.as_py())):
                     if fields["warc-type"] == "revisit":
                         page = int(fields["x-page-id"]) if fields["x-page-id"] else None
                         rows.append((page, None, fields["warc-payload-digest"].removeprefix("sha1:"), "revisit", int(fields["warc-refers-to"].rpartition(":")[2].rstrip(">")), None, None, None, None))
@@ -166,8 +200,12 @@ def read(spark, path: str) -> DataFrame:
                         page = int(fields["x-page-id"]) if fields.get("x-page-id") else None
                         total = fields.get("warc-segment-total-length")
                         rows.append((page, None, fields.get("warc-payload-digest"), "segment", None, fields.get("warc-segment-origin-id", fields["warc-record-id"]), int(fields["warc-segment-number"]), int(total) if total else None, block))
+                        held += len(block)
                     else:
                         rows.append(of(fields, decode_http(block)))
+                    if len(rows) >= 2000 or held >= 1 << 23:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 yield batch_of(rows)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 clashing columns and no rows; then each query on the smallest driver tables."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -328,7 +329,15 @@ def test_warc_framing():
         warc.dechunk(b"5\r\nabc\r\n0\r\n\r\n")
     parts = warc.records_of("r", 1, "u", b"z" * 5000, None, False, segment=600)
     assert len(parts) > 5 and b"WARC-Segment-Total-Length" in parts[-1]
-    assert len(list(warc.parse(b"".join(p + b"\r\n\r\n" for p in parts)))) == len(parts)
+    archive = b"".join(p + b"\r\n\r\n" for p in parts)
+    whole = list(warc.parse(archive))
+    assert len(whole) == len(parts)
+    packed = b"".join(gzip.compress(archive[i : i + 1700]) for i in range(0, len(archive), 1700))
+    assert b"".join(warc.unpacked(packed, 7, 11)) == archive
+    assert list(warc.parse(warc.unpacked(packed, 64, 50))) == whole and list(warc.parse(b"")) == []
+    for broken in (packed[:-9], gzip.compress(archive[:-20])):
+        with pytest.raises(ValueError, match="cut off"):
+            list(warc.parse(warc.unpacked(broken)))
 
 
 # 7: mixing
