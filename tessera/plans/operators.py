@@ -56,7 +56,7 @@ FROM (VALUES (7, 3), (8, NULL), (9, 5)) AS l(id, k) CROSS JOIN (VALUES (4, NULL)
 same("between_in", "SELECT p_partkey, p_size BETWEEN 5 AND 10 AS mid, p_size IN (1, 2, NULL) AS in_null, p_size NOT IN (1, 2) AS not_in FROM part")
 same("case_coalesce", """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band,
 coalesce(nullif(o_orderstatus, 'F'), 'none') AS status FROM orders""")
-same("guarded_division", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_quantity / nullif(l_linenumber % 3, 0) END AS q FROM lineitem WHERE l_orderkey < 2000")
+same("guarded_division", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_quantity / nullif(l_linenumber % 3, 0) END AS q FROM lineitem")
 same("casts", """SELECT p_partkey, cast(p_size AS BIGINT) AS big, cast(p_size AS DOUBLE) AS dbl, cast(p_size AS DECIMAL(9,2)) AS dec_, cast(p_partkey AS VARCHAR(20)) AS txt FROM part""", "SELECT p_partkey, cast(p_size AS BIGINT) AS big, cast(p_size AS DOUBLE) AS dbl, cast(p_size AS DECIMAL(9,2)) AS dec_, cast(p_partkey AS VARCHAR) AS txt FROM part")
 
 

@@ -1,6 +1,7 @@
 """Every registered query that has SQL gives the rows the SQL gives."""
 
 import math
+import re
 
 import pytest
 
@@ -29,6 +30,14 @@ def test_same_rows(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
 
 
+def test_guarded_division_takes_every_line(spark, duck):
+    large = SF.replace("sf0.001", "sf0.01")  # order numbers of the smallest tables end below 2000
+    lines = f"read_parquet('{large}/lineitem.parquet')"
+    n = duck.sql(f"select count(*) from {lines}").fetchall()[0][0]
+    assert catalogue.QUERIES["guarded_division"](spark, large).count() == n
+    assert len(duck.sql(re.sub(r"\blineitem\b", lines, catalogue.ORACLE["guarded_division"], count=1)).fetchall()) == n
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
