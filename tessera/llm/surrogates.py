@@ -7,9 +7,10 @@ across spellings of one number and between a full name and its surname) and nobo
 recompute it. Type, length and punctuation stay: digits for digits, hexadecimal for hexadecimal, card
 numbers with a right check digit, addresses with octets in range, names by gender and script.
 
-Distinctness is checked over the whole table: canonical forms whose replacements meet, or whose
-replacement is itself an entity of the table, are derived anew with the next attempt number until none
-meet. Only canonical forms are shuffled for this, and only texts that hold such a form look it up.
+Distinctness is checked over the whole table and every spelling, as a replacement also follows the form of
+address: canonical forms of which a replacement meets another form's, or is itself an entity of the table,
+are derived anew with the next attempt number until none meet. Only distinct spellings are shuffled for
+this, and only texts that hold such a form look it up.
 
 Cases: null text stays null, an empty text stays empty; text outside entities is unchanged; repeated rows and
 ties get equal replacements; the first alternative of the pattern wins where two could match; an empty
@@ -202,20 +203,22 @@ def surrogate(e: Column, attempt: Column, key: str = KEY) -> Column:
 
 
 def _collisions(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFrame | None:
-    """(canon, attempt) of the canonical forms that need another attempt; None if none does."""
+    """(canon, attempt) of the canonical forms that need another attempt; None if none does. ``entities``
+    has a row for each surface, as one form's surfaces may get different replacements."""
     current = entities.withColumn("attempt", F.lit(0))
+    real = entities.select(F.col("canon").alias("s")).distinct().withColumn("real", F.lit(True))
     any_bumped = False
     for _ in range(most_rounds):
         made = common.stored(current.withColumn("s", surrogate(F.col("surface"), F.col("attempt"), key)), "surrogates").withColumn("s", canonical(F.col("s")))
-        meet = made.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("canon").alias("stays"))
-        real = entities.select(F.col("canon").alias("s"), F.lit(True).alias("real"))
-        checked = made.join(meet.where("m > 1"), "s", "left").join(real, "s", "left")
-        bump = ((F.coalesce("m", F.lit(1)) > 1) & (F.col("canon") != F.col("stays"))) | F.coalesce("real", F.lit(False))
-        after = common.stored(checked.select("canon", "surface", (F.col("attempt") + F.coalesce(bump, F.lit(False)).cast("int")).alias("attempt"), F.coalesce(bump, F.lit(False)).alias("bumped")), "attempts")
-        if after.where("bumped").isEmpty():
-            return after.where("attempt > 0").select("canon", "attempt") if any_bumped else None
+        meet = made.groupBy("s").agg(F.min("canon").alias("stays"), F.max("canon").alias("last")).where("stays <> last")
+        checked = made.join(meet, "s", "left").join(real, "s", "left")
+        bump = F.coalesce(F.col("canon") != F.col("stays"), F.lit(False)) | F.coalesce("real", F.lit(False))
+        bumped = common.stored(checked.where(bump).select("canon").distinct(), "bumped")
+        if bumped.isEmpty():
+            return current.where("attempt > 0").select("canon", "attempt").distinct() if any_bumped else None
         any_bumped = True
-        current = after.select("canon", "surface", "attempt")
+        after = current.join(bumped.withColumn("bumped", F.lit(1)), "canon", "left")
+        current = common.stored(after.select("canon", "surface", (F.col("attempt") + F.coalesce("bumped", F.lit(0))).alias("attempt")), "attempts")
     raise RuntimeError("surrogates still collide")
 
 
@@ -224,7 +227,7 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
     docs = docs.drop("n_entities")
     found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     surfaces = docs.where("text is not null").select(F.explode(found).alias("surface"))
-    entities = common.stored(surfaces.groupBy("surface").agg(F.lit(1).alias("one")).groupBy(canonical(F.col("surface")).alias("canon")).agg(F.min("surface").alias("surface")), "entities")
+    entities = common.stored(surfaces.groupBy("surface").agg(F.lit(1).alias("one")).select(canonical(F.col("surface")).alias("canon"), "surface"), "entities")
     bumped = _collisions(entities, key)
     out = docs.withColumn("_e", F.coalesce(found, F.array().cast("array<string>")))
     if bumped is not None:

@@ -245,6 +245,17 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(rows.collect()) and not set(got) & set(names + ips)
 
 
+def test_surrogates_stay_distinct_under_every_title(spark):
+    people = [f"{a}{b} Smith" for a in ("Ja", "Jo", "Ka", "Lu", "Ti", "Wa") for b in ("mes", "hn", "rl", "ke", "na", "ll")]
+    titles = {p: ("Dr.", "Mr.") if i % 2 else ("Mr.", "Mrs.") if i % 3 else ("Mr.",) for i, p in enumerate(people)}
+    rows = [(p, f"{t} {p}") for p in people for t in titles[p]]
+    got = surrogates.pseudonymize(spark.createDataFrame(rows, "person string, text string")).collect()
+    owners = defaultdict(set)
+    for r in got:
+        owners[r["text"].split(" ", 1)[1]].add(r["person"])
+    assert len(got) == len(rows) and all(len(o) == 1 for o in owners.values()) and not set(owners) & set(people)
+
+
 # 5: packing
 
 
