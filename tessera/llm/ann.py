@@ -11,7 +11,8 @@ Parts of any size are searched in blocks of candidates and queries, so a hot par
 
 Cases: null, zero, null-holding and non-finite vectors take no part, nor do vectors of another length
 than most have; ties go to the smaller vec_id; repeated rows are candidates each for itself, except a
-query's own id; an empty table gives no rows; up to ``exact`` rows there is one part and the search is exact."""
+query's own id, and are asked once; a vec_id with several different vectors is asked once with each, so it
+has as many lists, each ranked from 1; an empty table gives no rows; up to ``exact`` rows there is one part and the search is exact."""
 
 from __future__ import annotations
 
@@ -179,36 +180,39 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, sample: int = SAMPLE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order[:, 0]), pa.array(asked, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "probes"])
 
     indexed = common.stored(rows.mapInArrow(assign, "vec_id long, embedding array<double>, part int, probes array<int>"), "indexed")
-    found = _ranked_best(indexed, indexed.where("probes is not null").select("vec_id", "embedding", "probes"), k)
+    queries = indexed.where("probes is not null").groupBy("vec_id", "embedding").agg(F.min("probes").alias("probes"))
+    queries = common.stored(queries.withColumn("version", F.xxhash64("embedding")), "queries")
+    found = _ranked_best(indexed, queries, k)
     if parts > 1:
         found = common.stored(found, "found")
-        few = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min(k, n - 1))
-        short = indexed.where("probes is not null").join(few.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        few = found.groupBy("query_id", "version").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= min(k, n - 1))
+        short = queries.join(few.select(F.col("query_id").alias("vec_id"), "version"), ["vec_id", "version"], "left_anti")
         if not short.isEmpty():
             every_part = F.array(*[F.lit(p) for p in range(parts)])
-            whole = _ranked_best(indexed, short.select("vec_id", "embedding", every_part.alias("probes")), k)
-            found = found.join(few.select("query_id"), "query_id", "left_semi").unionByName(whole)
-    return found
+            whole = _ranked_best(indexed, short.withColumn("probes", every_part), k)
+            found = found.join(few.select("query_id", "version"), ["query_id", "version"], "left_semi").unionByName(whole)
+    return found.drop("version")
 
 
 def _ranked_best(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    asked = queries.select("vec_id", "embedding", F.explode("probes").alias("part"))
+    """version, query_id, rank, vec_id, score; a query is a (vec_id, version)."""
+    asked = queries.select("vec_id", "version", "embedding", F.explode("probes").alias("part"))
     sizes = indexed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).cast("long").alias("cb"))
     sizes = sizes.join(asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("qb")), "part")
     sizes = F.broadcast(sizes)  # at most MOST_PARTS rows
     number = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.col(blocks))
-    held = indexed.join(sizes, "part").select("vec_id", "embedding", "part", number("cb").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)).alias("q"), F.lit(False).alias("is_query"))
-    asks = asked.join(sizes, "part").select("vec_id", "embedding", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb") - 1)).alias("c"), number("qb").alias("q"), F.lit(True).alias("is_query"))
+    held = indexed.join(sizes, "part").select("vec_id", F.lit(0).cast("long").alias("version"), "embedding", "part", number("cb").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)).alias("q"), F.lit(False).alias("is_query"))
+    asks = asked.join(sizes, "part").select("vec_id", "version", "embedding", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cb") - 1)).alias("c"), number("qb").alias("q"), F.lit(True).alias("is_query"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "task"):
-            task, ids, is_query = (table.column(c).to_numpy() for c in ("task", "vec_id", "is_query"))
+            task, ids, versions, is_query = (table.column(c).to_numpy() for c in ("task", "vec_id", "version", "is_query"))
             x = _matrix(table.column("embedding").combine_chunks())
             start = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for a, b in zip(start, np.append(start[1:], len(task)), strict=True):
                 flag = is_query[a:b]
-                qi, qx, ci, cx = ids[a:b][flag], x[a:b][flag], ids[a:b][~flag], x[a:b][~flag]
+                qi, qv, qx, ci, cx = ids[a:b][flag], versions[a:b][flag], x[a:b][flag], ids[a:b][~flag], x[a:b][~flag]
                 if not len(qi) or not len(ci):
                     continue
                 for at in range(0, len(qi), 256):
@@ -222,13 +226,14 @@ def _ranked_best(indexed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         out[0].append(np.full(len(order), qi[at + j]))
                         out[1].append(ci[near][order])
                         out[2].append(score[order])
+                        out[3].append(np.full(len(order), qv[at + j]))
             joined = [np.concatenate(o) if o else np.empty(0) for o in out]
-            yield pa.RecordBatch.from_arrays([pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(np.float64)), pa.array(joined[3].astype(np.int64))], names=["query_id", "vec_id", "score", "version"])
 
     tasks = held.unionByName(asks).withColumn("task", F.xxhash64("part", "c", "q")).repartition("task").sortWithinPartitions("task", "is_query", "vec_id")
-    made = tasks.select("task", "vec_id", "embedding", "is_query").mapInArrow(best, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return made.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    made = tasks.select("task", "vec_id", "version", "embedding", "is_query").mapInArrow(best, "query_id long, vec_id long, score double, version long")
+    w = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
+    return made.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("version", "query_id", "rank", "vec_id", "score")
 
 
 def op3_learned_partitions(spark, sf_dir: str) -> DataFrame:

@@ -199,6 +199,22 @@ def test_neighbours(spark):
     assert ann.search(few.where("vec_id > 5")).count() == 0
 
 
+def test_repeated_queries(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(80, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (20, x[20].tolist()), (20, x[20].tolist()), (40, x[41].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = Counter()
+    for q, v in {(q, tuple(v)) for q, v in rows if q % 20 == 0}:
+        near = sorted((-float((np.array(c) * v).sum()), i) for i, c in rows if i != q)[:20]
+        want.update((q, rank, i) for rank, (_, i) in enumerate(near, 1))
+    assert Counter((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(vectors).collect()) == want
+    monkeypatch.setattr(ann, "PER_PART", 32)
+    parted = ann.search(vectors, exact=32).collect()
+    assert Counter((r["query_id"], r["rank"]) for r in parted) == Counter((q, rank) for q, rank, _ in want.elements())
+    copies, lists = Counter(i for i, _ in rows), {40: 2}
+    assert all(n <= copies[i] * lists.get(q, 1) for (q, i), n in Counter((r["query_id"], r["vec_id"]) for r in parted).items())
+
+
 # 4: surrogates
 
 PRIVATE = {
