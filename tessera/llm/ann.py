@@ -2,17 +2,21 @@
 
 On a bounded sample: a graph of nearest neighbours by inner product, cut into balanced parts by recursive
 bisection (median along the leading direction, refined by swaps that lower the cut), and a small
-network that predicts in which parts a vector's neighbours lie. Every row is indexed under its most
-probable part; a query goes to its ``probes`` most probable parts, as many as give the target recall on the
-sample; all candidates there are reranked by the exact inner product in double precision. Queries that
-find too few are searched in all parts.
+network that predicts in which parts a vector's neighbours lie. The number of parts follows from the number of
+rows (``parts_for``), at every size. Every row is indexed under its most probable part. A query goes to its most
+probable parts until their probabilities add up to ``reach``; all candidates there are reranked by the
+exact inner product in double precision. Queries that find too few are searched in all parts.
+
+``reach`` is set on held-out rows: vectors outside the sample are searched exactly in the whole table, and
+``reach`` is the least that finds ``TARGET`` of their neighbours. So a table with clusters is asked in few parts
+and one without structure in most; ``Router.recall`` and ``Router.probed`` say what was measured.
 
 Parts of any size are searched in blocks of candidates and queries, so a hot part never meets in one task.
 
 Cases: null, zero, null-holding and non-finite vectors take no part, nor do vectors of another length
 than most have; ties go to the smaller vec_id; repeated rows are candidates each for itself, except a
 query's own id, and are asked once; a vec_id with several different vectors is asked once with each, so it
-has as many lists, each ranked from 1; an empty table gives no rows; up to ``exact`` rows there is one part and the search is exact."""
+has as many lists, each ranked from 1; an empty table gives no rows; under 8 rows make one part."""
 
 from __future__ import annotations
 
@@ -26,10 +30,20 @@ from pyspark.sql import functions as F
 from . import common
 from .neardup import _grouped
 
-SAMPLE, NEIGHBOURS, K, EXACT, PER_PART, MOST_PARTS, TARGET = 6000, 10, 20, 4096, 2048, 256, 0.95
+NEIGHBOURS, K, LEAST_PARTS, MOST_PARTS, TARGET = 10, 20, 4, 256, 0.95
+#: Sampled rows a part, and in all; held-out rows that are searched exactly.
+PER_PART, SAMPLE, HELD_OUT = 512, 32_768, 256
 CANDIDATES, QUERIES = 4096, 2048
 
 
+def parts_for(n: int) -> int:
+    """A power of two near a quarter of the root of ``n``, 4 to 256; parts hold four rows at least."""
+    parts = 1
+    while parts < MOST_PARTS and (parts < LEAST_PARTS or 64 * parts * parts <= n) and 8 * parts <= n:
+        parts *= 2
+    return parts
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k largest inner products of each row, itself excluded."""
     out = np.empty((len(x), k), np.int64)
@@ -83,7 +97,8 @@ class Router:
 
     def __init__(self, d: int, parts: int, hidden: int = 64):
         rng = np.random.default_rng(3)
-        self.parts, self.scale, self.probes = parts, 1.0, 1
+        self.parts, self.scale, self.reach = parts, 1.0, 1.0
+        self.recall = self.probed = None
         self.p = [rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), (hidden, parts)), np.zeros(parts)]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
@@ -108,12 +123,27 @@ class Router:
                     m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
 
-    def route(self, x: np.ndarray) -> np.ndarray:
-        """Parts from the most to the least probable."""
-        return np.argsort(-self.logits(x), axis=1, kind="stable")
-
-
-def learn(x: np.ndarray, parts: int, k: int = K, target: float = TARGET) -> Router:
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts from the most to the least probable, and the probability of those before each."""
+        z = self.logits(x)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        order = np.argsort(-p, axis=1, kind="stable")
+        sorted_p = np.take_along_axis(p, order, axis=1)
+        return order, np.cumsum(sorted_p, axis=1) - sorted_p
+
+    def set_reach(self, asked: np.ndarray, near: np.ndarray, target: float) -> None:
+        """``near``: (query, vector) pairs of true neighbours, as (index in ``asked``, their vectors)."""
+        order, ahead = self.route(asked)
+        place = np.argsort(order, axis=1)
+        own = self.route(near[1])[0][:, 0]
+        need = np.sort(ahead[near[0], place[near[0], own]])
+        at = min(len(need) - 1, int(np.ceil(target * len(need))) - 1)
+        self.reach = float(np.nextafter(need[at], 2.0))
+        self.recall, self.probed = float((need < self.reach).mean()), float((ahead < self.reach).sum(1).mean())
+
+
+def learn(x: np.ndarray, parts: int) -> Router:
     graph = neighbour_graph(x, min(NEIGHBOURS, len(x) - 1))
     label = balanced_parts(x, graph, parts)
     aim = np.eye(parts)[label] * 2
@@ -121,17 +151,52 @@ def learn(x: np.ndarray, parts: int, k: int = K, target: float = TARGET) -> Rout
         aim[np.arange(len(x)), label[graph[:, j]]] += 1
     router = Router(x.shape[1], parts)
     router.train(x, aim / aim.sum(1, keepdims=True))
-    asked = np.arange(0, len(x), max(1, len(x) // 600))
-    s = x[asked] @ x.T
-    s[np.arange(len(asked)), asked] = -np.inf
-    near = np.argpartition(-s, min(k, len(x) - 2), axis=1)[:, :k]
-    ranks = router.route(x)
-    place = np.argsort(ranks[asked], axis=1)  # rank of each part for each query
-    at = np.take_along_axis(place, ranks[near, 0], axis=1)
-    for probes in range(1, parts + 1):
-        router.probes = probes
-        if (at < probes).mean() >= target:
-            break
+    return router
+
+
+def fit(rows: DataFrame, n: int, k: int = K, target: float = TARGET) -> Router | None:
+    """Router of a stored table of ``n`` usable rows; None where one part holds them all."""
+    parts = parts_for(n)
+    if parts == 1:
+        return None
+    draw = F.pmod(F.xxhash64(F.lit("ann"), "vec_id", "embedding"), F.lit(1_000_000))
+    # four fifths at most, so that some rows are always held out; drawn by hash, so the bound holds but for chance
+    share = min(0.8, min(SAMPLE, PER_PART * parts) / n)
+    held_share = min(0.2, HELD_OUT / n)
+    taken = lambda where: rows.where(where).orderBy("vec_id").limit(2 * SAMPLE).toArrow()
+    sample = taken(draw < int(1_000_000 * share))
+    held = taken(draw >= 1_000_000 - int(1_000_000 * held_share))
+    if sample.num_rows < 2 * parts:
+        return None
+    router = learn(_matrix(sample.column("embedding").combine_chunks()), parts)
+    if held.num_rows:
+        ids, x = held.column("vec_id").to_numpy(), _matrix(held.column("embedding").combine_chunks())
+        asked = rows.sparkSession.sparkContext.broadcast((ids, x))  # about HELD_OUT vectors
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qi, qx = asked.value
+            near: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty((0, qx.shape[1])))] * len(qi)
+            for batch in batches:
+                ci, cx = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                if not len(ci):
+                    continue
+                score = qx @ cx.T
+                score[qi[:, None] == ci[None, :]] = -np.inf
+                for j, s in enumerate(score):
+                    top = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
+                    top = top[np.isfinite(s[top])]
+                    both, vectors = np.concatenate([near[j][0], s[top]]), np.vstack([near[j][1], cx[top]])
+                    keep = np.argsort(-both, kind="stable")[:k]
+                    near[j] = (both[keep], vectors[keep])
+            which = np.concatenate([np.full(len(s), j) for j, (s, _) in enumerate(near)])
+            scores, vectors = np.concatenate([s for s, _ in near]), np.vstack([v for _, v in near])
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(scores), pa.array(list(vectors), pa.list_(pa.float64()))], names=["q", "score", "embedding"])
+
+        w = Window.partitionBy("q").orderBy(F.desc("score"))
+        exact = rows.mapInArrow(best, "q int, score double, embedding array<double>")
+        exact = exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "embedding").toArrow()
+        if exact.num_rows:
+            router.set_reach(x, (exact.column("q").to_numpy(), _matrix(exact.column("embedding").combine_chunks())), target)
     return router
 
 
@@ -149,21 +214,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == (sizes[0]["d"] if sizes else 0))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = K, sample: int = SAMPLE, exact: int = EXACT) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = K, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
+    with common.tidy(vectors.sparkSession) as keep:
+        return keep(common.stored(_search(vectors, every, k, target), "neighbours"))
+
+
+def _search(vectors: DataFrame, every: int, k: int, target: float) -> DataFrame:
     spark = vectors.sparkSession
     common.ship(spark)
     rows = common.stored(usable(vectors), "vectors")
     n = rows.count()
-    parts = 1
-    if n > exact:
-        while parts * 2 * PER_PART <= n and parts < MOST_PARTS:
-            parts *= 2
-    router = None
-    if parts > 1:
-        draw = F.pmod(F.xxhash64(F.lit("ann"), "vec_id"), F.lit(1_000_000))
-        drawn = rows.where(draw < int(1_000_000 * min(1.0, sample / n))).limit(2 * sample).collect()
-        router = learn(np.array([r["embedding"] for r in sorted(drawn, key=lambda r: r["vec_id"])]), parts, k)
+    router = fit(rows, n, k, target)
+    parts = router.parts if router else 1
     shared = spark.sparkContext.broadcast(router)  # bounded by MOST_PARTS
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +236,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, sample: int = SAMPLE
                 continue
             ids = batch.column(0).to_numpy()
             if r is None:
-                order, probes = np.zeros((len(ids), 1), np.int32), 1
+                order, probes = np.zeros((len(ids), 1), np.int32), np.ones(len(ids), np.int64)
             else:
-                order, probes = r.route(_matrix(batch.column(1))).astype(np.int32), r.probes
-            asked = [o[:probes].tolist() if i % every == 0 else None for i, o in zip(ids.tolist(), order, strict=True)]
+                order, ahead = r.route(_matrix(batch.column(1)))
+                order, probes = order.astype(np.int32), (ahead < r.reach).sum(1)
+            asked = [o[:p].tolist() if i % every == 0 else None for i, o, p in zip(ids.tolist(), order, probes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order[:, 0]), pa.array(asked, pa.list_(pa.int32()))], names=["vec_id", "embedding", "part", "probes"])
 
     indexed = common.stored(rows.mapInArrow(assign, "vec_id long, embedding array<double>, part int, probes array<int>"), "indexed")

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -32,9 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Only a local master, whose executors are this machine, gets a
+    temporary folder where that is unset; on a cluster it is an error, as executors do not share their disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_tessera_dir", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -46,13 +50,86 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[dict[int, tuple[DataFrame, str]]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
-    costs no recomputation."""
+    costs no recomputation. Tables stay until ``tidy`` removes them."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1][id(out)] = (out, path)
+    return out
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within it, ``keep`` marks stored tables that outlive it (those a result still reads); the others are
+    removed at its end. Without a mark from an outer ``tidy`` they stay until the shared folder is cleared."""
+    scope: dict[int, tuple[DataFrame, str]] = {}
+    kept: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        if id(df) in scope:
+            kept[id(df)] = scope[id(df)]
+        return df
+
+    _SCOPES.append(scope)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(scope)
+        for i, (_, path) in scope.items():
+            if i not in kept:
+                remove(spark, path)
+        if _SCOPES:
+            _SCOPES[-1].update(kept)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or with the smallest number that makes it one no column has (letter case apart)."""
+    taken = {c.lower() for c in columns}
+    found, i = name, 0
+    while found.lower() in taken:
+        i += 1
+        found = f"{name}_{i}"
+    return found
+
+
+def nested(docs: DataFrame, used: list[str]) -> DataFrame:
+    """The columns ``used`` and all others in one struct ``row_``, so that no name can clash with ours."""
+    others = [c for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("row_"))
+
+
+def unnested(columns: list[str], used: list[str]) -> list[Column]:
+    """The columns that ``nested`` was made of, in their order."""
+    others = [c for c in columns if c not in used]
+    return [F.col(c) if c in used else F.col("row_")[f"c{others.index(c)}"].alias(c) for c in columns]
+
+
+HOT_SHARE, HOT_LEAST = 1000, 256
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the stored ``facts`` of their ``key`` (unique there); ``count`` says how many rows have it.
+
+    Keys with over a ``HOT_SHARE``th of all ``total`` rows are at most HOT_SHARE; their facts are broadcast and
+    their rows stay where they are, so no key's rows ever meet in one task."""
+    hot = facts.where(F.col(count) > max(total // HOT_SHARE, HOT_LEAST))
+    if hot.isEmpty():
+        return rows.join(facts, key, how)
+    keys = F.broadcast(hot.select(key))
+    cold = rows.join(keys, key, "left_anti").join(facts, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,23 +164,25 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 40
     """(id, component) for every node of ``edges`` (u, v): component is the smallest id reachable.
 
     Alternating large-star and small-star contractions; every round's links are a stored table and
-    nothing but their number reaches the driver."""
-    links = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    for _ in range(most_rounds):
-        ends = links.select(F.col("u").alias("x"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-        per_node = ends.groupBy("x").agg(F.sum("o").alias("o"), F.max("i").alias("i"))
-        if not per_node.agg(F.max((F.col("o") > 1) | ((F.col("o") > 0) & (F.col("i") > 0)))).first()[0]:
-            break  # every node points to one root: stars
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
+    nothing but counts reaches the driver. A root of many links is no hot key (``join_facts``)."""
+    spark = edges.sparkSession
+    with tidy(spark) as keep:
+        links = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        for _ in range(most_rounds):
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"), F.count_if(F.col("v") < F.col("u")).alias("o")), name)
+            seen = low.agg(F.sum("c"), F.max((F.col("o") > 1) | ((F.col("o") > 0) & (F.col("c") > F.col("o"))))).first()
+            if not seen[1]:
+                break  # every node points to one root: stars
+            large = stored(join_facts(both, low.select("u", "m", "c"), "u", "c", seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+            low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), name)
+            small = join_facts(large, low, "u", "c", seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            links = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        keep(links)
+    return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
 # vectorised word hashing

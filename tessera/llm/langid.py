@@ -147,12 +147,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score in place of columns of these names."""
+    """docs with lang_pred and score; a column of docs of such a name stays, and ours has a number after it."""
     spark = docs.sparkSession
     common.ship(spark)
-    docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)  # bounded: bins x machines
-    names = [*docs.columns, "lang_pred", "score"]
+    own = [common.free_name(docs.columns, c) for c in ("lang_pred", "score")]
+    names = [*docs.columns, *own]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [m.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(own[0], T.StringType()), T.StructField(own[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -4,20 +4,25 @@ Per source: whole epochs first, then the remaining budget is met by a subset of
 subset works on the histogram (words, documents): every length gives its share rounded down, the rest
 is filled largest first down to a window, and a bounded-knapsack dynamic program over the lengths still
 left hits what remains exactly, or as near below as lengths allow. Documents of a length are
-picked by a seeded rank, so reruns agree.
+taken in the order of a seeded hash, so reruns agree: what is taken ends, per source and length, at one key, and
+a document is held against that key where it lies. No text is shuffled as long as these keys (at most
+sqrt(2 * words) lengths a source) are small enough for adaptive execution to broadcast.
 
-A source's histogram (at most sqrt(2 * words) lengths) is fitted in one task; documents never are.
+A source's histogram is fitted in one task, in memory of one window; documents never are.
 One row per source reaches the driver, for the shares.
 
 Cases: null text has no words and is never taken; null source is a source of its own, last in order;
-repeated rows count each for itself; ties are broken by a seeded hash; empty tables give no rows."""
+repeated rows count each for itself (equal ones at the key are numbered in blocks, and as many as are still
+wanted are taken); ties are broken by a seeded hash, then by text and id, also for null ids; empty tables give
+no rows; columns of any name are kept."""
 
 from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -50,48 +55,77 @@ def fit(histogram: dict[int, int], budget: int, window: int = WINDOW) -> dict[in
     budget = max(0, min(budget, total))
     take = {x: histogram[x] * budget // total if total else 0 for x in lengths}
     left = budget - sum(x * n for x, n in take.items())
-    for x in lengths:
+    for x in lengths:  # down to half a window, largest first
         if left - x >= window // 2:
             n = min(histogram[x] - take[x], (left - window // 2) // x)
             take[x] += n
             left -= n * x
-    # bounded knapsack over what is left: bit b of `reach` says that b words can be made
-    reach, steps, mask = 1, [], (1 << (left + 1)) - 1
+    given = True
+    while given and left < window // 2:  # or up to it: one of each length is given back at a time
+        given = False
+        for x in lengths:
+            if take[x] and left + x <= window // 2:
+                take[x] -= 1
+                left += x
+                given = True
+    # bounded knapsack over what is left: bit b of `reach` says that b words can be made, by[b] which step made it
+    reach, steps, mask, by = 1, [], (1 << (left + 1)) - 1, np.full(left + 1, -1, np.int32)
     for x in lengths:
         spare, k = min(histogram[x] - take[x], left // x), 1
         while spare > 0:
             n = min(k, spare)
-            steps.append((x, n, reach))
-            reach |= (reach << (x * n)) & mask
+            new = (reach << (x * n)) & mask & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits)] = len(steps)
+                reach |= new
+            steps.append((x, n))
             spare -= n
             k *= 2
         if reach >> left & 1:
             break
     at = reach.bit_length() - 1
-    for x, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[x] += n
-            at -= x * n
+    while at:  # a bit's step reached it first, so what it came from was made by earlier ones
+        x, n = steps[by[at]]
+        take[x] += n
+        at -= x * n
     return take
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and taken (words, repeats counted)."""
+    """docs with size, source_size, target and taken (words, repeats counted); where docs has a column of such a
+    name, it stays and ours has a number after it (``common.free_name``)."""
     spark = docs.sparkSession
-    docs = docs.drop("size", "source_size", "target", "taken")
+    used = ["doc_id", "text", "source"]
     words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    key = F.struct("doc_id", "source", "size")
-    nth = F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0)))
-    slim = common.stored(docs.select("doc_id", "source", words.alias("size")), "mix-rows")
-    decided = _mixed(slim, docs.sparkSession, weights, share, most, seed).select(key.alias("_k"), "source_size", "target", "taken")
-    decided = decided.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("taken"))))
-    whole = docs.withColumn("size", words).withColumn("_k", key).withColumn("_m", nth)
-    # the n-th of repeated rows takes the n-th decision; written as two inequalities, the rows stay dealt by _k
-    return whole.join(decided, ["_k"]).where("_m <= _n and _m >= _n").drop("_k", "_m", "_n")
-
-
-def _mixed(rows: DataFrame, spark, weights, share, most, seed) -> DataFrame:
-    histogram = common.stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
+    # order of documents of one length: a seeded hash, its ties by text and id
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+    key = F.struct(F.col("draw"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), F.col("doc_id").cast("string").alias("id"))
+    keyed = common.nested(docs, used).withColumn("size", words).withColumn("draw", draw).withColumn("key", key)
+    with common.tidy(spark) as keep:
+        slim = common.stored(keyed.select("source", "size", "draw", "key").groupBy("source", "size", "draw", "key").agg(F.count(F.lit(1)).alias("c")), "mix-rows")
+        cuts = keep(_cuts(slim, spark, weights, share, most))
+    cut = cuts.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", "epochs", "last", "k", "c")
+    met = keyed.join(cut, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    before = F.when(F.col("last").isNull() | (F.col("key") > F.col("last")), F.lit(0)).otherwise(F.lit(1))
+    names = {c: common.free_name(docs.columns, c) for c in ("size", "source_size", "target", "taken")}
+
+    def shown(df: DataFrame, extra: Column) -> DataFrame:
+        taken = F.col("size") * (F.col("epochs") + extra)
+        return df.select(*common.unnested(docs.columns, used), *[F.col(c).alias(names[c]) for c in ("size", "source_size", "target")], taken.cast("long").alias(names["taken"]))
+
+    if cuts.where("k < c").isEmpty():
+        return shown(met, before)
+    # rows that repeat at a cut, of which some are taken: they are equal, so any number of them will do
+    some = F.coalesce((F.col("k") < F.col("c")) & (F.col("key") == F.col("last")), F.lit(False))
+    equal = common.stored(met.where(some).withColumn("i", F.monotonically_increasing_id()), "mix-equal")
+    numbered = common.ranked(equal, ["_source", "_size"], [F.col("i")], F.xxhash64("i"), common.buckets_for(equal.count(), 20_000))
+    return shown(met.where(~some), before).unionByName(shown(numbered, (F.col("rank") < F.col("k")).cast("int")))
+
+
+def _cuts(rows: DataFrame, spark, weights, share, most) -> DataFrame:
+    """Per source and length: source_size, target, epochs, and the last key of which some are taken: ``k`` of ``c``."""
+    histogram = common.stored(rows.groupBy("source", "size").agg(F.sum("c").alias("n")), "mix-histogram")
     found = sorted(((r["source"], int(r["s"]), r["n"]) for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     targets = shares([s for _, s, _ in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
     plan = []
@@ -103,21 +137,30 @@ def _mixed(rows: DataFrame, spark, weights, share, most, seed) -> DataFrame:
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         take = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["_rest"].iloc[0]))
-        return pdf.assign(_take=[take.get(x, 0) for x in pdf["size"]])[["_source", "_size", "source_size", "target", "_epochs", "_take"]]
+        return pdf.assign(take=[take.get(x, 0) for x in pdf["size"]]).rename(columns={"_epochs": "epochs"})[["source", "size", "source_size", "target", "epochs", "take"]]
 
     common.ship(spark)
-    chosen = histogram.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_size", F.col("size"))
+    # one row a source: left to adaptive execution to broadcast
+    chosen = histogram.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     chosen = chosen.withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    chosen = chosen.groupBy("_group").applyInPandas(fitted, "_source string, _size long, source_size long, target double, _epochs long, _take long")
+    chosen = common.stored(chosen.groupBy("_group").applyInPandas(fitted, "source string, size long, source_size long, target double, epochs long, take long"), "mix-fitted")
+    # rows ahead of a key: those of earlier buckets of the draw, and of its own bucket
     n = sum(n for _, _, n in found)
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    numbered = common.ranked(rows, ["source", "size"], [order, F.col("doc_id").asc_nulls_last()], F.xxhash64(F.lit(seed + 1), "doc_id"), common.buckets_for(n, 20_000))
-    out = numbered.join(chosen, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-    return out.withColumn("taken", F.col("size") * (F.col("_epochs") + (F.col("rank") < F.col("_take")).cast("long"))).drop("_source", "_size", "_epochs", "_take", "rank")
+    bits = min(40, common.buckets_for(n, 20_000).bit_length())
+    rows = rows.withColumn("b", F.shiftright("draw", 62 - bits))
+    wanted = chosen.where("take > 0").select(F.col("source").alias("_source"), F.col("size").alias("_size"), "take")
+    within = Window.partitionBy("source", "size", "b").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source", "size").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("source", "size", "b").agg(F.sum("c").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # only the bucket in which the take ends is ordered
+    starts = starts.join(wanted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).where("start < take and take <= start + n")
+    ends = starts.select(F.col("_source").alias("s"), F.col("_size").alias("z"), F.col("b").alias("_b"), "start", "take")
+    last = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("b") == F.col("_b"))).withColumn("ahead", F.col("start") + F.coalesce(F.sum("c").over(within), F.lit(0)))
+    last = last.where("ahead < take and take <= ahead + c").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("key").alias("last"), (F.col("take") - F.col("ahead")).alias("k"), "c")
+    out = chosen.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
+    return common.stored(out.select("source", "size", "source_size", "target", "epochs", "last", "k", "c"), "mix-cuts")
 
 
 def op7_subset_sum(spark, sf_dir: str) -> DataFrame:
     docs = common.tables(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = common.stored(docs.select("doc_id", "source", words.alias("size")), "mix-rows")
-    return _mixed(rows, spark, WEIGHTS, SHARE, MOST, SEED).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -15,9 +15,13 @@ several parts, every class outside its largest part meets every block (the exact
 A comparison is skipped only if both sides are linked already, so no link between parts is lost, and
 no group ever emits all its pairs. Components follow by alternating star contractions of the links.
 
+No key is hot: rows of a node or root with over a thousandth of all rows stay where they are and get its facts by
+broadcast (``common.join_facts``); at most a thousand keys can have that many.
+
 Cases: null or word-less texts have an empty set and stay alone; texts with fewer than k words are one
-shingle; repeated rows and equal sets share a class; ties go to the smaller doc_id; rows with null doc_id
-are kept and linked with nothing; an empty table gives no rows."""
+shingle; repeated rows and equal sets share a class; a class is known by its digest and its own number, so rows that
+share a doc_id but not their text are compared each with its own text; ties go to the smaller doc_id; rows with
+null doc_id are kept and linked with nothing; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -52,7 +56,7 @@ def minhash(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set, sketch."""
+    """doc_id, t (hash of the text), n (set size), digest of the set, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,10 +68,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     n.append(len(h))
                     digest.append(hashlib.md5(h.tobytes()).digest() if len(h) else None)
                     sketch.append(minhash(h).tobytes() if len(h) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "digest", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "t", "n", "digest", "sketch"])
 
     common.ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, digest binary, sketch binary")
 
 
 def _value(position):
@@ -149,11 +153,12 @@ def loose_edges(classes: DataFrame, num: int, den: int, trees: int = TREES, leaf
     Nodes are told apart on (node, id) alone; sketches go only to members of nodes of two and more. A large
     node most of whose members look like its first is one group: all its members are linked to it."""
     seeds = np.random.default_rng(31).permutation(POSITIONS)[:trees]
+    total = classes.count() * trees
     nodes = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), _value(int(p))) for t, p in enumerate(seeds)])).alias("node"))
     pool, found = classes, []
     for level in range(depth + 1):
-        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1")
-        members = nodes.join(counts, "node").select("node", "id", "m", "first")
+        counts = common.stored(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1"), "counts")
+        members = common.join_facts(nodes, counts, "node", "m", total).select("node", "id", "m", "first")
         # one join hands out the sketches; a class in many nodes has them side by side, which files keep small
         held = common.stored(members.join(pool.hint("merge"), "id").select("node", "id", "m", "first", "n", "sketch"), "members")
         small = held.where(F.col("m") <= leaf).select("node", "id", "n", "sketch")
@@ -163,14 +168,15 @@ def loose_edges(classes: DataFrame, num: int, den: int, trees: int = TREES, leaf
         if level == depth:
             found.append(to_first.select("u", "v"))
             break
-        firsts = large.where("id = first").select("node", F.col("sketch").alias("_of"))
-        near = large.join(firsts, "node").groupBy("node").agg(F.avg((_agreements("sketch", "_of") >= alike_least(num, den)).cast("int")).alias("near"))
-        near = common.stored(near.select("node", (F.col("near") >= 0.8).alias("one")), "near")
+        firsts = common.stored(large.where("id = first").select("node", F.col("sketch").alias("_of"), F.col("m").alias("c")), "firsts")
+        compared = common.join_facts(large.select("node", "sketch"), firsts, "node", "c", total)
+        near = compared.groupBy("node").agg(F.avg((_agreements("sketch", "_of") >= alike_least(num, den)).cast("int")).alias("near"), F.first("c").alias("c"))
+        near = common.stored(near.select("node", "c", (F.col("near") >= 0.8).alias("one")), "near")
         if near.isEmpty():
             break
-        found.append(to_first.join(near.where("one"), "node", "left_semi").select("u", "v"))
+        found.append(common.join_facts(to_first, common.stored(near.where("one"), "near"), "node", "c", total).select("u", "v"))
         chosen = [F.pmod(F.xxhash64(F.lit(level * 2 + i), "node"), F.lit(POSITIONS)).cast("int") for i in range(2)]
-        rest = large.join(near.where("not one"), "node", "left_semi")
+        rest = common.join_facts(large.select("node", "id", "n", "sketch"), common.stored(near.where("not one"), "near"), "node", "c", total)
         split = common.stored(rest.select("id", "n", "sketch", F.explode(F.array(*[F.xxhash64("node", F.lit(i), _value(c)) for i, c in enumerate(chosen)])).alias("node")), "level")
         nodes, pool = split.select("id", "node"), split.select("id", "n", "sketch").dropDuplicates(["id"])
     out = found[0]
@@ -239,38 +245,52 @@ def confirm(tasks: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> D
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    sketched = common.stored(sketches(docs, k), "sketches")
+    with common.tidy(docs.sparkSession) as keep:
+        sketched = keep(common.stored(sketches(docs, k), "sketches"))
+        of_class = keep(_classes(docs, sketched, k, num, den, block))
+    return sketched.join(of_class, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, sketched: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
+    """digest, component (smallest doc_id reachable) of every class."""
     member = sketched.where("n > 0 and doc_id is not null")
-    classes = common.stored(member.groupBy("digest").agg(F.min_by(F.struct("n", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("id")).select("digest", "id", "s.n", "s.sketch"), "classes")
+    grouped = member.groupBy("digest").agg(F.min_by(F.struct("n", "sketch", "doc_id", "t"), F.struct("doc_id", "t")).alias("s"))
+    classes = common.stored(grouped.select("digest", F.monotonically_increasing_id().alias("id"), "s.n", "s.sketch", "s.doc_id", "s.t"), "classes")
     loose = common.components(loose_edges(classes.select("id", "n", "sketch"), num, den), "loose")
     count = loose.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    dealt = common.stored(loose.join(count, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block).cast("long"))), "dealt")
+    count = common.stored(count, "loose-sizes")
+    total = count.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    dealt = common.stored(common.join_facts(loose, count, "component", "m", total).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block).cast("long"))), "dealt")
     # the one time whole texts move: those of loose components, for both rounds
-    whole = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = common.stored(whole.join(dealt.select("id").hint("merge"), "id", "left_semi"), "texts")
+    wanted = common.stored(classes.select("id", "doc_id", "t").join(dealt.select("id"), "id"), "wanted")
+    whole = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    texts = common.stored(whole.join(wanted, ["doc_id", "t"]).select("id", "text"), "texts")
     task = F.xxhash64("component", "block")
     base = dealt.select(task.alias("task"), "id", F.col("id").alias("part"), F.lit(0).alias("side"))
     large = dealt.where(F.col("m") > block)
-    hubs = large.groupBy("component").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("block") == 0, F.col("id")))), 1, HUBS).alias("hubs"))
-    rounds = [base, hubs.join(large.select("component", "block").distinct(), "component").select(task.alias("task"), F.explode("hubs").alias("id")).select("task", "id", F.col("id").alias("part"), F.lit(0).alias("side"))]
-    links = common.stored(confirm(rounds[0].unionByName(rounds[1]), texts, k, num, den), "links")
+    hubs = large.where("block = 0").groupBy("component").agg(F.slice(F.array_sort(F.collect_set("id")), 1, HUBS).alias("hubs"))
+    blocks = common.stored(large.select("component", "block").distinct(), "blocks")
+    first = base.unionByName(hubs.join(blocks, "component").select(task.alias("task"), F.explode("hubs").alias("id")).select("task", "id", F.col("id").alias("part"), F.lit(0).alias("side")))
+    links = common.stored(confirm(first, texts, k, num, den), "links")
     found = common.components(links, "linked")
     if not large.isEmpty():
         parts = common.stored(large.join(found.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
         sizes = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("c"))
-        most = sizes.groupBy("component").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        split = parts.join(most, "component")
+        most = sizes.groupBy("component").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        split = common.join_facts(parts, common.stored(most, "most"), "component", "c", total)
         outside = split.where("part <> main").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), F.ceil(F.col("m") / block).cast("long")))
         chunks = common.stored(outside.groupBy("component", "chunk").agg(F.count(F.lit(1)).alias("c")), "chunks")
-        blocks = split.select("component", "block").distinct()
         pairs = chunks.select("component", "chunk").join(blocks, "component")
         key = F.xxhash64(F.lit(2), "component", "chunk", "block")
         asked = outside.select("component", "chunk", "id", "part").join(blocks, "component").select(key.alias("task"), "id", "part", F.lit(1).alias("side"))
         met = split.select("component", "block", "id", "part").join(pairs, ["component", "block"]).select(key.alias("task"), "id", "part", F.lit(2).alias("side"))
         links = links.unionByName(common.stored(confirm(asked.unionByName(met), texts, k, num, den), "links"))
         found = common.components(links, "linked")
-    of_class = common.stored(classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "of-class")
-    return sketched.join(of_class, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    # components go by class numbers; each is named by its smallest doc_id
+    ids = common.stored(found.join(classes.select("id", "doc_id"), "id"), "ids")
+    names = common.stored(ids.groupBy("component").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("c")), "names")
+    named = common.join_facts(ids.select("id", "component"), names, "component", "c", total).select("id", "name")
+    return common.stored(classes.select("digest", "id", "doc_id").join(named, "id", "left").select("digest", F.coalesce("name", "doc_id").alias("component")), "of-class")
 
 
 def op10_chosen_path(spark, sf_dir: str) -> DataFrame:

@@ -172,12 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Network:
 
 
 def score(docs: DataFrame, model: Network) -> DataFrame:
-    """docs with score in place of a column of this name."""
+    """docs with score; where docs has a column of this name, it stays and ours is score_1."""
     spark = docs.sparkSession
     common.ship(spark)
-    docs = docs.drop("score")
+    own = common.free_name(docs.columns, "score")
     shared = spark.sparkContext.broadcast(model)
-    names, at = [*docs.columns, "score"], docs.columns.index("text")
+    names, at = [*docs.columns, own], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Network) -> DataFrame:
             x = np.array([counts(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(x), pa.float64())], names=names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.DoubleType())]))
 
 
 def op1_pu_quality(spark, sf_dir: str) -> DataFrame:

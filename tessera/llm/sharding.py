@@ -61,6 +61,15 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[tuple[
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for every row."""
+    with common.tidy(docs.sparkSession) as keep:
+        placed = keep(_placed(docs, shards))
+    # order of a shard's rows: by id, then by text; equal rows are dealt by the hash of both
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")]
+    slots = common.ranked(placed, ["shard"], order, F.xxhash64("doc_id", "text_crc32"), common.buckets_for(placed.count(), 20_000), "slot")
+    return slots.select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def _placed(docs: DataFrame, shards: int) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = F.when(F.col("text").isNull(), 1).otherwise(F.octet_length(text) + 1).cast("long")
@@ -71,10 +80,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     plan = spark.createDataFrame(list(schedule(sizes, shards).items()), "_bytes long, _ends array<struct<last: long, shard: int>>")
     numbered = common.ranked(groups, ["_bytes"], [F.col("_key")], F.xxhash64("_key"), common.buckets_for(total))
     chosen = numbered.join(plan, "_bytes").select("_key", F.element_at(F.filter("_ends", lambda e: F.col("rank") < e["last"]), 1)["shard"].alias("shard"))
-    placed = common.stored(rows.join(chosen, "_key").drop("_key"), "shard-placed")
-    n = placed.count()
-    slots = common.ranked(placed, ["shard"], [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")], F.xxhash64("doc_id"), common.buckets_for(n, 20_000), "slot")
-    return slots.select("doc_id", "size", "text_crc32", "shard", "slot")
+    # a hot text is a key that adaptive execution splits, as rows are the larger side
+    return common.stored(rows.join(chosen, "_key").drop("_key"), "shard-placed")
 
 
 def op2_lpt_sharding(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ A text is searched once: its pieces are stored, and only rows that hold a part w
 
 Cases: null text stays null, an empty text stays empty; text outside entities is unchanged; repeated rows and
 ties get equal replacements; the first alternative of the pattern wins where two could match; an empty
-table gives no rows; columns of any other name are kept as they are; a secret without any letter or digit (of the
+table gives no rows; columns of any name are kept; a secret without any letter or digit (of the
 scripts in ``RANGES``) is not changed."""
 
 from __future__ import annotations

@@ -1,10 +1,18 @@
 """TIFF as a media column: pack bytes into TIFF, walk image directories, and read every page back.
 
 The reader handles both byte orders, strips and tiles, no compression, PackBits, LZW and deflate,
-the horizontal predictor, 8-bit samples (chunky or planar) and chains of directories; one row per page.
+the horizontal predictor, samples of 1, 2, 4, 8 and 16 bits (chunky or planar) and chains of directories; one row
+per page. Samples of up to 8 bits come out as a byte each, those of 16 bits as two (little-endian).
 
-Cases: null media gives no row, broken media one row with the error and no samples; an empty table gives
-no rows; equal bytes give equal values; a null text is an empty payload."""
+Sizes in a file are not trusted: a page of over ``MOST_BYTES`` is an error before anything is allocated, and a
+strip is unpacked to its own size at most.
+
+The query stores every text by a codec, predictor, layout, number of pages and byte order that its digest chooses
+(``layout_of``), so all of them occur.
+
+Cases: null media gives no row; a broken page gives one row with the error and no samples, the pages around it
+are read; broken media give one such row; an empty table gives no rows; equal bytes give equal values; a null text
+is an empty payload; columns of any name are kept (where one has the name of ours, ours has a number after it)."""
 
 from __future__ import annotations
 
@@ -36,9 +44,13 @@ class Page(NamedTuple):
     data: bytes
 
 
-def packbits_decode(data: bytes) -> bytes:
+#: Most bytes of samples in a page.
+MOST_BYTES = 1 << 28
+
+
+def packbits_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         i += 1
         if n < 128:
@@ -68,12 +80,14 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Most significant bit first, codes widen one early."""
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """Most significant bit first, codes widen one early; stops once there are ``most`` bytes."""
     first = [bytes([i]) for i in range(256)] + [b"", b""]
     table, width, out, previous = list(first), 9, [], None
-    bits = held = 0
+    bits = held = made = 0
     for byte in data:
+        if made >= most:
+            break
         held = (held << 8) | byte
         bits += 8
         while bits >= width:
@@ -91,8 +105,10 @@ def lzw_decode(data: bytes) -> bytes:
                 if code > len(table):
                     raise ValueError("LZW code out of range")
                 entry = table[code] if code < len(table) else previous + previous[:1]
-                table.append(previous + entry[:1])
+                if len(table) < 4096:
+                    table.append(previous + entry[:1])
             out.append(entry)
+            made += len(entry)
             previous = entry
             size = len(table) + 1
             width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
@@ -141,16 +157,21 @@ def _pack(data: bytes, compression: int) -> bytes:
     return {NONE: lambda d: d, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 1), OLD_DEFLATE: lambda d: zlib.compress(d, 1), PACKBITS: packbits_encode}[compression](data)
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
+def _unpack(data: bytes, compression: int, size: int) -> bytes:
+    """``size`` bytes of a strip or tile."""
     if compression == NONE:
-        return data
-    if compression == LZW:
-        return lzw_decode(data)
-    if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    if compression == PACKBITS:
-        return packbits_decode(data)
-    raise ValueError(f"compression {compression} is not supported")
+        out = data
+    elif compression == LZW:
+        out = lzw_decode(data, size)
+    elif compression in (DEFLATE, OLD_DEFLATE):
+        out = zlib.decompressobj().decompress(data, size) if size else b""
+    elif compression == PACKBITS:
+        out = packbits_decode(data, size)
+    else:
+        raise ValueError(f"compression {compression} is not supported")
+    if len(out) < size:
+        raise ValueError("a strip or tile is too short")
+    return out[:size]
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 1024, tile: int = 0, order: str = "<") -> bytes:
@@ -200,12 +221,12 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-def read_tiff(data: bytes) -> Iterator[Page]:
-    """Pages of a TIFF in the order of their directories."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
+    """(byte order, tags) of each image directory of a TIFF."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF")
-    at, seen, number = struct.unpack_from(order + "I", data, 4)[0], set(), 0
+    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
         if at in seen:
             raise ValueError("directories form a loop")
@@ -214,89 +235,151 @@ def read_tiff(data: bytes) -> Iterator[Page]:
         n = struct.unpack_from(order + "H", data, at)[0]
         for i in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-            if kind in _CODES:
-                size = _SIZES[kind] * count
+            size = _SIZES.get(kind, 0) * count
+            if kind in _CODES and size <= len(data):
                 place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-                tags[tag] = struct.unpack_from(f"{order}{count}{_CODES[kind]}", data, place)
-        one = lambda t, default: tags.get(t, (default,))[0]
-        w, h, s, compression = one(256, 0), one(257, 0), one(277, 1), one(259, 1)
-        if any(b != 8 for b in tags.get(258, (8,))):
-            raise ValueError("only 8-bit samples are supported")
-        planar, predictor = one(284, 1) == 2 and s > 1, one(317, 1)
-        depth = 1 if planar else s
-        planes = []
-        tiled = 324 in tags
-        places, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
-        tw, th = (one(322, w), one(323, h)) if tiled else (w, min(one(278, h), h) or h)
-        across = -(-w // tw) if tw else 0
-        per_plane = across * -(-h // th) if th else 0
-        for plane in range(s if planar else 1):
-            full = np.zeros((h, w, depth), np.uint8)
-            for k in range(per_plane):
-                i = plane * per_plane + k
-                y, x = k // across * th, k % across * tw
-                rows = th if tiled else min(th, h - y)
-                raw = _unpack(data[places[i] : places[i] + sizes[i]], compression)
-                part = np.frombuffer(raw, np.uint8, rows * tw * depth).reshape(rows, tw, depth)
-                if predictor == 2:
-                    part = np.cumsum(part, axis=1, dtype=np.uint8)
-                elif predictor != 1:
-                    raise ValueError(f"predictor {predictor} is not supported")
-                full[y : y + rows, x : x + tw] = part[: h - y, : w - x]
-            planes.append(full)
-        yield Page(number, w, h, s, compression, (np.concatenate(planes, axis=2) if planar else planes[0]).tobytes())
-        number += 1
+                if place + size <= len(data):
+                    tags[tag] = struct.unpack_from(f"{order}{count}{_CODES[kind]}", data, place)
+        yield order, tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def read_pages(media: DataFrame, column: str = "media") -> DataFrame:
+def _samples(raw: bytes, rows: int, width: int, depth: int, bits: int, order: str) -> np.ndarray:
+    """(rows, width, depth) samples of one strip or tile."""
+    if bits == 16:
+        return np.frombuffer(raw, order + "u2").reshape(rows, width, depth).astype(np.uint16)
+    if bits == 8:
+        return np.frombuffer(raw, np.uint8).reshape(rows, width, depth)
+    single = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : width * depth * bits]
+    weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+    return (single.reshape(rows, width * depth, bits) * weights).sum(axis=2, dtype=np.uint8).reshape(rows, width, depth)
+
+
+def read_page(data: bytes, number: int, order: str, tags: dict[int, tuple], most: int = MOST_BYTES) -> Page:
+    def one(tag: int, default: int) -> int:
+        value = tags.get(tag, (default,))
+        return int(value[0]) if value else default
+
+    w, h, s, compression, predictor = one(256, 0), one(257, 0), one(277, 1), one(259, 1), one(317, 1)
+    kinds = set(tags.get(258, (8 if s > 1 else 1,) if 258 not in tags else ()))
+    if len(kinds) != 1 or (bits := int(kinds.pop())) not in (1, 2, 4, 8, 16):
+        raise ValueError("samples are not all of 1, 2, 4, 8 or 16 bits")
+    if min(w, h, s) < 1 or w * h * s * (2 if bits == 16 else 1) > most:
+        raise ValueError("the page has no samples or too many")
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise ValueError(f"predictor {predictor} is not supported")
+    planar = one(284, 1) == 2 and s > 1
+    depth = 1 if planar else s
+    tiled = 324 in tags
+    places, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
+    tw, th = (one(322, 0), one(323, 0)) if tiled else (w, min(one(278, h), h) or h)
+    packed = -(-tw * depth * bits // 8)
+    if min(tw, th) < 1 or packed * th > most:
+        raise ValueError("tiles or strips have no size or too large a one")
+    across, down = -(-w // tw), -(-h // th)
+    if len(places) < across * down * (s if planar else 1) or len(sizes) < len(places):
+        raise ValueError("strips or tiles are missing")
+    planes = []
+    kind = np.uint16 if bits == 16 else np.uint8
+    for plane in range(s if planar else 1):
+        full = np.zeros((h, w, depth), kind)
+        for k in range(across * down):
+            i = plane * across * down + k
+            y, x = k // across * th, k % across * tw
+            rows = th if tiled else min(th, h - y)
+            raw = _unpack(data[places[i] : places[i] + sizes[i]], compression, rows * packed)
+            part = _samples(raw, rows, tw, depth, bits, order)
+            if predictor == 2:
+                part = np.cumsum(part, axis=1, dtype=kind)
+            full[y : y + rows, x : x + tw] = part[: h - y, : w - x]
+        planes.append(full)
+    whole = np.concatenate(planes, axis=2) if planar else planes[0]
+    return Page(number, w, h, s, compression, whole.astype("<u2").tobytes() if bits == 16 else whole.tobytes())
+
+
+_BROKEN = (ValueError, KeyError, IndexError, OverflowError, MemoryError, TypeError, struct.error, zlib.error)
+
+
+def read_tiff(data: bytes, most: int = MOST_BYTES) -> Iterator[Page | Exception]:
+    """Pages of a TIFF in the order of their directories; for a broken one its error."""
+    number, found = 0, directories(data)
+    while True:
+        try:
+            order, tags = next(found)
+        except StopIteration:
+            return
+        except _BROKEN as e:
+            yield e
+            return
+        try:
+            yield read_page(data, number, order, tags, most)
+        except _BROKEN as e:
+            yield e
+        number += 1
+
+
+def read_pages(media: DataFrame, column: str = "media", most: int = MOST_BYTES) -> DataFrame:
     """One row per page: the other columns, page, width, height, samples, compression, data, error."""
-    own = ["page", "width", "height", "samples", "compression", "data", "error"]
-    others = [c for c in media.columns if c != column and c not in own]
-    fields = [T.StructField(c, T.IntegerType()) for c in own[:5]] + [T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())]
+    others = [c for c in media.columns if c != column]
+    own = [common.free_name(others, c) for c in ("page", "width", "height", "samples", "compression", "data", "error")]
+    fields = [T.StructField(c, T.IntegerType()) for c in own[:5]] + [T.StructField(own[5], T.BinaryType()), T.StructField(own[6], T.StringType())]
     schema = T.StructType([*[media.schema[c] for c in others], *fields])
+    kinds = [*[pa.int32()] * 5, pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                blob, rows = batch.column(len(others))[i].as_py(), []
+                blob = batch.column(len(others))[i].as_py()
                 if blob is None:
                     continue
-                try:
-                    rows = [(*p, None) for p in read_tiff(blob)]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    rows = [(None, None, None, None, None, None, str(e) or type(e).__name__)]
-                head = [pa.array([batch.column(k)[i].as_py()] * len(rows), batch.schema.field(k).type) for k in range(len(others))]
-                tail = [pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), [*[pa.int32()] * 5, pa.binary(), pa.string()], strict=True)] if rows else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([*head, *tail], names=schema.names)
+                head = [batch.column(k).slice(i, 1) for k in range(len(others))]
+                for number, p in enumerate(read_tiff(blob, most)):
+                    row = (number, None, None, None, None, None, str(p) or type(p).__name__) if isinstance(p, Exception) else (*p, None)
+                    yield pa.RecordBatch.from_arrays([*head, *[pa.array([v], t) for v, t in zip(row, kinds, strict=True)]], names=schema.names)
 
     common.ship(media.sparkSession)
     return media.select(*others, column).mapInArrow(run, schema)
 
 
-def stored_payload(text: str | None, compression: int = DEFLATE, predictor: int = 1) -> tuple:
+def layout_of(payload: bytes) -> dict:
+    """How a payload is stored: chosen by its digest, so equal texts are stored alike."""
+    d = hashlib.md5(payload).digest()
+    return {
+        "compression": (NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE)[d[0] % 5],
+        "predictor": 1 + d[1] % 2,
+        "rows_per_strip": (16, 64, 1024)[d[2] % 3],
+        "tile": (0, 0, 32)[d[3] % 3],
+        "order": "<>"[d[4] % 2],
+    } | {"pages": 1 + d[5] % 3}
+
+
+def stored_payload(text: str | None) -> tuple:
     """(n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of one text."""
     raw = (text or "").encode("utf-8", "replace")
     payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
-    media = write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, 64)], compression, predictor)
-    back = b"".join(p.data for p in read_tiff(media))
+    layout = layout_of(payload)
+    pages = min(layout.pop("pages"), len(payload) // 64)
+    media = write_tiff(np.array_split(np.frombuffer(payload, np.uint8).reshape(-1, 64), pages), **layout)
+    read = list(read_tiff(media, max(MOST_BYTES, 2 * len(payload))))
+    if broken := [p for p in read if isinstance(p, Exception)]:
+        raise broken[0]
+    back = b"".join(p.data for p in read)
     image = np.frombuffer(back, np.uint8)
     counts = np.bincount(image >> 4, minlength=16)
     rows = image.reshape(-1, 64)
     step = int(np.abs(np.diff(rows.astype(np.int16), axis=1)).sum())
-    feature = f"w=64;h={len(rows)};sum={int(image.sum(dtype=np.int64))};step={step};hist=" + ",".join(map(str, counts))
+    feature = f"w=64;h={len(rows)};pages={len(read)};codec={read[0].compression};sum={int(image.sum(dtype=np.int64))};step={step};hist=" + ",".join(map(str, counts))
     return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
-def media_features(docs: DataFrame, compression: int = DEFLATE, predictor: int = 1) -> DataFrame:
+def media_features(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.StringType() if k == pa.string() else T.LongType()) for n, k in zip(names[1:], kinds, strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [stored_payload(t.as_py(), compression, predictor) for t in batch.column(1)]
+            rows = [stored_payload(t.as_py()) for t in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 

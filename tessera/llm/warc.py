@@ -3,10 +3,14 @@
 Writing: a page is an HTTP response in chunked transfer framing. Among records with equal payloads of at
 least ``least`` bytes the smallest page_id is the response, the others are revisits that refer to it. A
 block longer than ``segment`` bytes is cut into a first record and continuation records, which may
-lie in any archive. Archives are written by Spark's text writer (a record ends with an empty line), gzipped,
-each of a bounded number of records, so they go to any file system with Spark's commit protocol.
+lie in any archive. Every record is a gzip member of its own, so a reader can start at any record.
 
-Reading: archives are parsed by Content-Length; records in one piece are decoded at once, segments are
+Archives are written by Spark's text writer, so they go to any file system with Spark's commit protocol: its
+lines are runs of whole members of about ``RUN`` bytes, its line separator is an empty member, and an archive has
+``RUNS`` lines at most. So archives are bounded in bytes (64 MB), however large the pages are.
+
+Reading: archives of this or another writer are unpacked and parsed by Content-Length piece by piece; records that are
+no responses, resources or revisits are passed over. Records in one piece are decoded at once, segments are
 grouped by origin identifier, ordered by number, held against the total length, and then decoded.
 
 Cases: null html is an empty payload; repeated rows are records each for themselves (every row with the
@@ -17,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SEGMENT, CHUNK, PER_ARCHIVE = 32_768, 8_192, 4_000
+SEGMENT, CHUNK, RUN, RUNS = 32_768, 8_192, 1 << 20, 64
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -86,22 +92,26 @@ def records_of(row: str, page_id: int | None, url: str | None, payload: bytes, f
     return out
 
 
+def member(data: bytes, level: int = 6) -> bytes:
+    """One gzip member; the same bytes for the same data."""
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
 def unpacked(packed: bytes, step: int = 1 << 18, most: int = 1 << 22) -> Iterator[bytes]:
     """Bytes of a gzip file of any number of members, at most ``most`` at once."""
-    import zlib
-
-    member = None
+    part = None
     for at in range(0, len(packed), step):
         piece = packed[at : at + step]
         while piece:
-            member = member or zlib.decompressobj(31)
-            yield member.decompress(piece, most)
-            piece = member.unconsumed_tail or member.unused_data
-            if member.eof:
-                member = None
-    if member is not None:
-        yield member.flush()
-        if not member.eof:
+            part = part or zlib.decompressobj(31)
+            yield part.decompress(piece, most)
+            piece = part.unconsumed_tail or part.unused_data
+            if part.eof:
+                part = None
+    if part is not None:
+        yield part.flush()
+        if not part.eof:
             raise ValueError("the archive is cut off")
 
 
@@ -143,7 +153,7 @@ def parse(source: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         at += size + 4 + n
 
 
-def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, per_archive: int = PER_ARCHIVE) -> None:
+def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, run_bytes: int = RUN, runs: int = RUNS) -> None:
     """Write pages (page_id, url, html) as archives under ``path``."""
     spark = pages.sparkSession
     common.ship(spark)
@@ -153,20 +163,24 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, p
     same = common.stored(keyed.where(F.octet_length("payload") >= least).groupBy("_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("_digest", "first"), "warc-same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
+        line = bytearray()
         for batch in batches:
-            out = []
             ids, urls, payloads, firsts, known = (batch.column(i).to_pylist() for i in range(5))
             for page, url, payload, first, grouped in zip(ids, urls, payloads, firsts, known, strict=True):
                 revisit = bool(grouped) and page != first
-                out += records_of(uuid.uuid4().hex, page, url, payload, first, revisit, segment)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                for record in records_of(uuid.uuid4().hex, page, url, payload, first, revisit, segment):
+                    line += member(record + b"\r\n\r\n")
+                    if len(line) >= run_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([bytes(line)], pa.binary())], names=["value"])
+                        line.clear()
+        if line:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(line)], pa.binary())], names=["value"])
 
     digests = keyed.select("page_id", "url", "payload", "_digest")
     marked = digests.join(same.withColumn("_known", F.lit(True)), "_digest", "left").select("page_id", "url", "payload", "first", F.coalesce("_known", F.lit(False)).alias("known"))
     records = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
+    nothing = member(b"").decode("latin-1")
+    records.write.option("encoding", "ISO-8859-1").option("lineSep", nothing).option("maxRecordsPerFile", runs).text(path)
 
 
 _FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, origin string, number int, total long, block binary"
@@ -174,13 +188,18 @@ _FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 def read(spark, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record."""
+    with common.tidy(spark) as keep:
+        return keep(common.stored(_read(spark, path), "warc-read"))
+
+
+def _read(spark, path: str) -> DataFrame:
     common.ship(spark)
 
     def of(fields: dict[str, str], payload: bytes) -> tuple:
         found = digest(payload)
         if fields.get("warc-payload-digest", f"sha1:{found}") != f"sha1:{found}":
             raise ValueError(f"{fields['warc-record-id']}: the payload's digest differs")
-        return (int(fields["x-page-id"]) if fields["x-page-id"] else None, len(payload), found, "response", None, None, None, None, None)
+        return (int(fields["x-page-id"]) if fields.get("x-page-id") else None, len(payload), found, "response", None, None, None, None, None)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
@@ -193,16 +212,19 @@ def read(spark, path: str) -> DataFrame:
             for blob in batch.column(0):
                 rows, held = [], 0
                 for fields, block in parse(unpacked(blob.as_py())):
+                    if fields["warc-type"] not in ("response", "resource", "revisit", "continuation"):
+                        continue
                     if fields["warc-type"] == "revisit":
-                        page = int(fields["x-page-id"]) if fields["x-page-id"] else None
-                        rows.append((page, None, fields["warc-payload-digest"].removeprefix("sha1:"), "revisit", int(fields["warc-refers-to"].rpartition(":")[2].rstrip(">")), None, None, None, None))
+                        page = int(fields["x-page-id"]) if fields.get("x-page-id") else None
+                        refers = fields.get("warc-refers-to", "").rpartition(":")[2].rstrip(">")
+                        rows.append((page, None, fields.get("warc-payload-digest", "").removeprefix("sha1:"), "revisit", int(refers) if refers.isdecimal() else None, None, None, None, None))
                     elif "warc-segment-number" in fields:
                         page = int(fields["x-page-id"]) if fields.get("x-page-id") else None
                         total = fields.get("warc-segment-total-length")
                         rows.append((page, None, fields.get("warc-payload-digest"), "segment", None, fields.get("warc-segment-origin-id", fields["warc-record-id"]), int(fields["warc-segment-number"]), int(total) if total else None, block))
                         held += len(block)
                     else:
-                        rows.append(of(fields, decode_http(block)))
+                        rows.append(of(fields, decode_http(block) if fields["warc-type"] == "response" else block))
                     if len(rows) >= 2000 or held >= 1 << 23:
                         yield batch_of(rows)
                         rows, held = [], 0
@@ -232,8 +254,11 @@ def read(spark, path: str) -> DataFrame:
 
 def op6_warc_segments(spark, sf_dir: str) -> DataFrame:
     path = common.fresh_path(spark, "warc")
-    write(common.tables(spark, sf_dir, "pages"), path)
-    return read(spark, path)
+    with common.tidy(spark) as keep:
+        write(common.tables(spark, sf_dir, "pages"), path)
+        found = keep(read(spark, path))
+    common.remove(spark, path)
+    return found
 
 
 OP6_SQL = """
