@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Whole words as every word-based operator here takes them (ASCII white space separates).
@@ -89,6 +89,14 @@ def tidy(spark: SparkSession):
             _SCOPES[-1].update(kept)
 
 
+def stored_facts(df: DataFrame, name: str, count: str) -> tuple[DataFrame, int, int]:
+    """``stored``, with the largest and the sum of its column ``count``, seen while it is written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.max(count).alias("most"), F.sum(count).alias("total")), name)
+    found = seen.get
+    return out, int(found["most"] or 0), int(found["total"] or 0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -119,17 +127,18 @@ def unnested(columns: list[str], used: list[str]) -> list[Column]:
 HOT_SHARE, HOT_LEAST = 1000, 256
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` with the stored ``facts`` of their ``key`` (unique there); ``count`` says how many rows have it.
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, most: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the ``facts`` of their ``key`` (unique there); ``count`` bounds how many rows have it, ``most`` and
+    ``total`` are its largest and its sum.
 
-    Keys with over a ``HOT_SHARE``th of all ``total`` rows are at most HOT_SHARE; their facts are broadcast and
+    Keys with over a ``HOT_SHARE``th of all rows are at most HOT_SHARE; their facts are broadcast and
     their rows stay where they are, so no key's rows ever meet in one task."""
-    hot = facts.where(F.col(count) > max(total // HOT_SHARE, HOT_LEAST))
-    if hot.isEmpty():
+    limit = max(total // HOT_SHARE, HOT_LEAST)
+    if most <= limit:
         return rows.join(facts, key, how)
-    keys = F.broadcast(hot.select(key))
-    cold = rows.join(keys, key, "left_anti").join(facts, key, how)
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
+    hot = F.broadcast(facts.where(F.col(count) > limit))
+    cold = rows.join(F.broadcast(facts.where(F.col(count) > limit).select(key)), key, "left_anti").join(facts, key, how)
+    return rows.join(hot, key).unionByName(cold)
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,14 +179,19 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 40
         links = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         for _ in range(most_rounds):
             both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"), F.count_if(F.col("v") < F.col("u")).alias("o")), name)
-            seen = low.agg(F.sum("c"), F.max((F.col("o") > 1) | ((F.col("o") > 0) & (F.col("c") > F.col("o"))))).first()
-            if not seen[1]:
+            low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"), F.count_if(F.col("v") < F.col("u")).alias("o"))
+            seen = Observation()
+            unsettled = (F.col("o") > 1) | ((F.col("o") > 0) & (F.col("c") > F.col("o")))
+            low = stored(low.observe(seen, F.sum("c").alias("total"), F.max("c").alias("most"), F.max("o").alias("most_below"), F.bool_or(unsettled).alias("unsettled")), name)
+            found = seen.get
+            if not found["unsettled"]:
                 break  # every node points to one root: stars
-            large = stored(join_facts(both, low.select("u", "m", "c"), "u", "c", seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
-            low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), name)
-            small = join_facts(large, low, "u", "c", seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            links = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+            large = join_facts(both, low.select("u", "m", "c"), "u", "c", found["total"], found["most"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            large = stored(large.distinct(), name)
+            # a node has at most as many links here as it had to smaller ones
+            least = large.groupBy("u").agg(F.min("v").alias("m")).join(low.select("u", "o"), "u")
+            small = join_facts(large, least, "u", "o", found["total"], found["most_below"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            links = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
         else:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -153,30 +153,28 @@ def loose_edges(classes: DataFrame, num: int, den: int, trees: int = TREES, leaf
     Nodes are told apart on (node, id) alone; sketches go only to members of nodes of two and more. A large
     node most of whose members look like its first is one group: all its members are linked to it."""
     seeds = np.random.default_rng(31).permutation(POSITIONS)[:trees]
-    total = classes.count() * trees
     nodes = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), _value(int(p))) for t, p in enumerate(seeds)])).alias("node"))
     pool, found = classes, []
     for level in range(depth + 1):
-        counts = common.stored(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1"), "counts")
-        members = common.join_facts(nodes, counts, "node", "m", total).select("node", "id", "m", "first")
+        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1")
+        counts, most, total = common.stored_facts(counts, "counts", "m")
+        members = common.join_facts(nodes, counts, "node", "m", total, most).select("node", "id", "m", "first")
         # one join hands out the sketches; a class in many nodes has them side by side, which files keep small
         held = common.stored(members.join(pool.hint("merge"), "id").select("node", "id", "m", "first", "n", "sketch"), "members")
         small = held.where(F.col("m") <= leaf).select("node", "id", "n", "sketch")
         found.append(common.stored(alike(small.repartition("node").sortWithinPartitions("node", "id"), num, den).distinct(), "alike"))
         large = held.where(F.col("m") > leaf)
         to_first = large.where("id <> first").select("node", F.col("id").alias("u"), F.col("first").alias("v"))
-        if level == depth:
+        if level == depth or most <= leaf:
             found.append(to_first.select("u", "v"))
             break
-        firsts = common.stored(large.where("id = first").select("node", F.col("sketch").alias("_of"), F.col("m").alias("c")), "firsts")
-        compared = common.join_facts(large.select("node", "sketch"), firsts, "node", "c", total)
+        firsts = large.where("id = first").select("node", F.col("sketch").alias("_of"), F.col("m").alias("c"))
+        compared = common.join_facts(large.select("node", "sketch"), firsts, "node", "c", total, most)
         near = compared.groupBy("node").agg(F.avg((_agreements("sketch", "_of") >= alike_least(num, den)).cast("int")).alias("near"), F.first("c").alias("c"))
         near = common.stored(near.select("node", "c", (F.col("near") >= 0.8).alias("one")), "near")
-        if near.isEmpty():
-            break
-        found.append(common.join_facts(to_first, common.stored(near.where("one"), "near"), "node", "c", total).select("u", "v"))
+        found.append(common.join_facts(to_first, near.where("one"), "node", "c", total, most).select("u", "v"))
         chosen = [F.pmod(F.xxhash64(F.lit(level * 2 + i), "node"), F.lit(POSITIONS)).cast("int") for i in range(2)]
-        rest = common.join_facts(large.select("node", "id", "n", "sketch"), common.stored(near.where("not one"), "near"), "node", "c", total)
+        rest = common.join_facts(large.select("node", "id", "n", "sketch"), near.where("not one"), "node", "c", total, most)
         split = common.stored(rest.select("id", "n", "sketch", F.explode(F.array(*[F.xxhash64("node", F.lit(i), _value(c)) for i, c in enumerate(chosen)])).alias("node")), "level")
         nodes, pool = split.select("id", "node"), split.select("id", "n", "sketch").dropDuplicates(["id"])
     out = found[0]
@@ -257,10 +255,8 @@ def _classes(docs: DataFrame, sketched: DataFrame, k: int, num: int, den: int, b
     grouped = member.groupBy("digest").agg(F.min_by(F.struct("n", "sketch", "doc_id", "t"), F.struct("doc_id", "t")).alias("s"))
     classes = common.stored(grouped.select("digest", F.monotonically_increasing_id().alias("id"), "s.n", "s.sketch", "s.doc_id", "s.t"), "classes")
     loose = common.components(loose_edges(classes.select("id", "n", "sketch"), num, den), "loose")
-    count = loose.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    count = common.stored(count, "loose-sizes")
-    total = count.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    dealt = common.stored(common.join_facts(loose, count, "component", "m", total).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block).cast("long"))), "dealt")
+    count, widest, total = common.stored_facts(loose.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "loose-sizes", "m")
+    dealt = common.stored(common.join_facts(loose, count, "component", "m", total, widest).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block).cast("long"))), "dealt")
     # the one time whole texts move: those of loose components, for both rounds
     wanted = common.stored(classes.select("id", "doc_id", "t").join(dealt.select("id"), "id"), "wanted")
     whole = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
@@ -269,15 +265,15 @@ def _classes(docs: DataFrame, sketched: DataFrame, k: int, num: int, den: int, b
     base = dealt.select(task.alias("task"), "id", F.col("id").alias("part"), F.lit(0).alias("side"))
     large = dealt.where(F.col("m") > block)
     hubs = large.where("block = 0").groupBy("component").agg(F.slice(F.array_sort(F.collect_set("id")), 1, HUBS).alias("hubs"))
-    blocks = common.stored(large.select("component", "block").distinct(), "blocks")
-    first = base.unionByName(hubs.join(blocks, "component").select(task.alias("task"), F.explode("hubs").alias("id")).select("task", "id", F.col("id").alias("part"), F.lit(0).alias("side")))
+    blocks = large.select("component", "block").distinct()
+    first = base if widest <= block else base.unionByName(hubs.join(blocks, "component").select(task.alias("task"), F.explode("hubs").alias("id")).select("task", "id", F.col("id").alias("part"), F.lit(0).alias("side")))
     links = common.stored(confirm(first, texts, k, num, den), "links")
     found = common.components(links, "linked")
-    if not large.isEmpty():
+    if widest > block:
         parts = common.stored(large.join(found.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
         sizes = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("c"))
         most = sizes.groupBy("component").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        split = common.join_facts(parts, common.stored(most, "most"), "component", "c", total)
+        split = common.join_facts(parts, common.stored(most, "most"), "component", "c", total, widest)
         outside = split.where("part <> main").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), F.ceil(F.col("m") / block).cast("long")))
         chunks = common.stored(outside.groupBy("component", "chunk").agg(F.count(F.lit(1)).alias("c")), "chunks")
         pairs = chunks.select("component", "chunk").join(blocks, "component")
@@ -287,9 +283,9 @@ def _classes(docs: DataFrame, sketched: DataFrame, k: int, num: int, den: int, b
         links = links.unionByName(common.stored(confirm(asked.unionByName(met), texts, k, num, den), "links"))
         found = common.components(links, "linked")
     # components go by class numbers; each is named by its smallest doc_id
-    ids = common.stored(found.join(classes.select("id", "doc_id"), "id"), "ids")
-    names = common.stored(ids.groupBy("component").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("c")), "names")
-    named = common.join_facts(ids.select("id", "component"), names, "component", "c", total).select("id", "name")
+    ids = found.join(classes.select("id", "doc_id"), "id")
+    names, most_ids, total = common.stored_facts(ids.groupBy("component").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("c")), "names", "c")
+    named = common.join_facts(found, names, "component", "c", total, most_ids).select("id", "name")
     return common.stored(classes.select("digest", "id", "doc_id").join(named, "id", "left").select("digest", F.coalesce("name", "doc_id").alias("component")), "of-class")
 
 
