@@ -117,11 +117,53 @@ def concat_op(*xs) -> Column:
     return F.concat(*[_c(x) for x in xs])
 
 
+#: Characters whose full upper case is longer than themselves, and what the simple mapping makes of them.
+_LONG = [chr(c) for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1]
+_SIMPLE = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _LONG]
+#: Unassigned places that hold such characters while the others are mapped.
+_PLACES = "".join(chr(0xF000 + i) for i in range(len(_LONG)))
+
+
+def upper(x) -> Column:
+    """Upper case character by character: ``ß`` gives ``ẞ``, ligatures stay, no string grows."""
+    held = F.translate(_c(x), "".join(_LONG), _PLACES)
+    return F.when(_c(x).rlike("[" + "".join(_LONG) + "]"), F.translate(F.upper(held), _PLACES, "".join(_SIMPLE))).otherwise(F.upper(_c(x)))
+
+
+def lower(x) -> Column:
+    """Lower case character by character: ``İ`` gives ``i``, a last ``Σ`` gives ``σ``."""
+    return F.lower(F.translate(_c(x), "İΣ", "iσ"))
+
+
+def group_count(pattern: str) -> int:
+    """Capturing groups of a pattern in the engine's own (Java, RE2) syntax: opening parentheses outside classes,
+    quotes and escapes that are followed by no ``?``, or by a name."""
+    n, i, in_class = 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            if pattern[i + 1 : i + 2] == "Q":
+                i = pattern.find("\\E", i)
+                if i < 0:
+                    break
+            i += 2
+            continue
+        if c == "[":
+            in_class += 1
+        elif c == "]" and in_class:
+            in_class -= 1
+        elif c == "(" and not in_class:
+            more = pattern[i + 1 : i + 4]
+            n += not more.startswith("?") or more.startswith("?P<") or (more.startswith("?<") and more[2:3] not in ("=", "!"))
+        i += 1
+    return n
+
+
 def regexp_replace_first(x, pattern: str, replacement: str) -> Column:
     r"""Replace the first match only; ``\1`` to ``\9`` refer to groups."""
     import re
 
-    groups = re.compile(pattern).groups
+    groups = group_count(pattern)
     out, i = "", 0
     while i < len(replacement):
         c = replacement[i]
@@ -177,5 +219,69 @@ def struct_pack(**fields) -> Column:
     return F.struct(*[_c(x).alias(k) for k, x in fields.items()])
 
 
+def positive(x) -> Column:
+    """Unary plus: its argument."""
+    return _c(x)
+
+
+def negate(x) -> Column:
+    """Unary minus; the smallest integer of a type has no opposite and is an error."""
+    return -_c(x)
+
+
+def absolute(x) -> Column:
+    """Absolute value; of the smallest integer of a type it is an error."""
+    return F.abs(_c(x))
+
+
+def date_diff(unit: str, start, end) -> Column:
+    """Boundaries of ``unit`` between two dates or timestamps (weeks: whole ones)."""
+    a, b = _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz")
+    months = lambda x: F.year(x) * 12 + F.month(x)
+    if unit == "year":
+        out = F.year(b) - F.year(a)
+    elif unit == "quarter":
+        out = (F.year(b) * 4 + F.quarter(b)) - (F.year(a) * 4 + F.quarter(a))
+    elif unit == "month":
+        out = months(b) - months(a)
+    elif unit == "week":
+        out = F.call_function("div", F.datediff(b, a), F.lit(7))  # whole weeks
+    elif unit == "day":
+        out = F.datediff(b, a)
+    else:
+        size = {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1000, "microsecond": 1}[unit]
+        us = lambda x: F.floor(F.unix_micros(x.cast("timestamp")) / F.lit(size))
+        out = us(b) - us(a)
+    return out.cast("bigint")
+
+
+def strptime(x, form: str) -> Column:
+    """Text to a timestamp by ``%`` directives; text that does not fit is an error."""
+    known = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%j": "DDD", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%p": "a", "%I": "hh"}
+    for k, v in known.items():
+        form = form.replace(k, v)
+    return F.to_timestamp_ntz(_c(x), F.lit(form))
+
+
+# casts
+
+
+def to_decimal(x, precision: int, scale: int) -> Column:
+    """Numbers to a decimal, half away from zero; out of range is an error."""
+    return _c(x).cast(f"decimal({precision},{scale})")
+
+
+def decimal_to(x, kind: str) -> Column:
+    """Decimal to an integer type, half away from zero; out of range is an error."""
+    return F.round(_c(x), 0).cast(kind)
+
+
+def to_precision(x, unit: str) -> Column:
+    """A timestamp rounded to milliseconds or seconds, halves up."""
+    size = F.lit({"millisecond": 1000, "second": 1_000_000}[unit])
+    us = F.unix_micros(_c(x).cast("timestamp")) + F.call_function("div", size, F.lit(2))
+    return F.timestamp_micros(us - F.pmod(us, size)).cast("timestamp_ntz")
+
+
 def error(message) -> Column:
     return F.raise_error(_c(message) if isinstance(message, Column) else F.lit(message))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources import scratch
+
 
 def mark_join(left: DataFrame, right: DataFrame, probe: str, key: str, mark: str = "mark") -> DataFrame:
     """Every left row with the three-valued answer to ``probe IN (SELECT key FROM right)``.
@@ -41,37 +43,70 @@ def outer_count(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return left.join(counts, F.col(left_key) == F.col("_key"), "left").withColumn(count, F.coalesce("_n", F.lit(0))).drop("_key", "_n")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], slices: int = 64) -> DataFrame:
     """Each left row with the values of the last right row at or before it, per ``by`` key.
 
-    A union sorted once per key; no pair is ever formed."""
-    kind = F.struct(*[F.col(v) for v in values])
+    Time is cut into ``slices`` of equal length, so a hot key is sorted in that many tasks; a row with no right row
+    in its slice takes the last one of the key's earlier slices (one row a key and slice). No pair is formed."""
+    kind = F.struct(F.lit(True).alias("_met"), *[F.col(v) for v in values])
     null = F.lit(None).cast(right.select(kind.alias("s")).schema["s"].dataType)
     a = left.withColumn("_t", F.col(left_on)).withColumn("_side", F.lit(1)).withColumn("_v", null)
     b = right.select(*by, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), kind.alias("_v"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = a.unionByName(b, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return filled.select(*left.columns, *[F.col("_v")[v].alias(v) for v in values])
+    number = lambda c: c.cast("timestamp").cast("double") if dict(left.dtypes)[left_on] in ("date", "timestamp", "timestamp_ntz") else c.cast("double")
+    span = left.agg(F.min(number(F.col(left_on))).alias("lo"), F.max(number(F.col(left_on))).alias("hi")).first()
+    width = ((span["hi"] or 0) - (span["lo"] or 0)) / slices or 1.0
+    part = F.greatest(F.lit(-1), F.least(F.lit(slices), F.floor((number(F.col("_t")) - F.lit(span["lo"] or 0.0)) / width))).cast("int")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_slice", part)
+    w = Window.partitionBy(*by, "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    ends = b.withColumn("_slice", part).groupBy(*by, "_slice").agg(F.max_by("_v", "_t").alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # every slice of a key that has rows on either side
+    seen = both.select(*by, "_slice").distinct().join(ends, [*by, "_slice"], "left").withColumn("_earlier", F.last("_last", ignorenulls=True).over(earlier))
+    seen = seen.where("_earlier is not null").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slice").alias("_ks"), "_earlier")
+    match = F.col("_slice") == F.col("_ks")
+    for i, c in enumerate(by):
+        match = match & (F.col(c) == F.col(f"_k{i}"))
+    found = F.coalesce(F.col("_v"), F.col("_earlier"))
+    return filled.join(seen, match, "left").select(*left.columns, *[found[v].alias(v) for v in values])
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """left.point in [right.low, right.high): an equi-join on bins of ``width`` and the exact condition."""
-    a = left.withColumn("_bin", F.floor(F.col(point) / width).cast("bigint"))
-    b = right.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / width).cast("bigint"), F.floor(F.col(high) / width).cast("bigint"))))
-    return a.join(b, "_bin").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")
+    """left.point in [right.low, right.high): an equi-join on bins and the exact condition.
+
+    Bins of ``width`` double from level to level. An interval is put into the level where it spans at most three
+    bins, however wide it is; a point looks into its bin of every level that occurs (at most 64)."""
+    span = F.greatest(F.col(high) - F.col(low), F.lit(0.0)) / width
+    level = F.when(span <= 1, 0).otherwise(F.ceil(F.log2(span))).cast("int")
+    b = right.where(F.col(low) < F.col(high)).withColumn("_level", level).withColumn("_size", F.pow(F.lit(2.0), "_level") * width)
+    levels = [r["_level"] for r in b.select("_level").distinct().collect()]  # at most 64
+    b = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / F.col("_size")).cast("bigint"), F.floor(F.col(high) / F.col("_size")).cast("bigint"))))
+    a = left.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    a = a.withColumn("_bin", F.floor(F.col(point) / (F.pow(F.lit(2.0), "_level") * width)).cast("bigint"))
+    return a.join(b, ["_level", "_bin"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin", "_level", "_size")
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """n-th row with n-th row, padded with NULLs; positions come from range-partitioned sorts."""
-    return _numbered(left, left_order).join(_numbered(right, right_order), "_n", "full").drop("_n")
+    return numbered(left, left_order)[0].join(numbered(right, right_order)[0], "_n", "full").drop("_n")
+
 
+def numbered(df: DataFrame, order: list) -> tuple[DataFrame, int]:
+    """``df`` with the place ``_n`` (from 0) of each row, and the number of rows.
 
-def _numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    The sorted rows are stored with their partition and place there, so that both readings see the same partitions."""
     ordered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    at = scratch.path(df.sparkSession, "numbered")
+    ordered.write.parquet(at)
+    ordered = df.sparkSession.read.schema(ordered.schema).parquet(at)
     ordered = ordered.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND((1 << 33) - 1))
-    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.join(F.broadcast(starts.select("_p", "_s")), "_p").withColumn("_n", F.col("_s") + F.col("_i")).drop("_p", "_i", "_id", "_s")  # one row a partition
+    sizes = {r["_p"]: r["c"] for r in ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row a partition
+    starts, total = [], 0
+    for p in sorted(sizes):
+        starts.append((p, total))
+        total += sizes[p]
+    table = df.sparkSession.createDataFrame(starts, "_p bigint, _s bigint")
+    return ordered.join(F.broadcast(table), "_p").withColumn("_n", F.col("_s") + F.col("_i")).drop("_p", "_i", "_id", "_s"), total
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:

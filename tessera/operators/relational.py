@@ -22,6 +22,13 @@ def avg_double(x) -> Column:
     return F.avg((F.col(x) if isinstance(x, str) else x).cast("double"))
 
 
+def stddev_samp(x) -> Column:
+    """Sample deviation, NULL under two values; infinite values and NaN are an error."""
+    v = (F.col(x) if isinstance(x, str) else x).cast("double")
+    bad = F.bool_or(F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("stddev_samp of a value that is not finite")).cast("double")).otherwise(F.stddev_samp(v))
+
+
 def count_distinct_rows(*columns: str) -> Column:
     """COUNT(DISTINCT (a, b)): NULL components count, as the tuple itself is not NULL."""
     return F.count_distinct(F.struct(*columns))
@@ -45,8 +52,11 @@ def replicate(df: DataFrame, count: str) -> DataFrame:
 
 
 def limit_percent(df: DataFrame, percent: float, order: list[Column]) -> DataFrame:
-    """The first ``percent`` of the ordered rows."""
-    return df.orderBy(*order).limit(int(df.count() * percent / 100))
+    """The first ``percent`` of the ordered rows: those whose place is low enough, in as many tasks as the sort has."""
+    from .joins import numbered
+
+    placed, n = numbered(df, order)
+    return placed.where(F.col("_n") < int(n * percent / 100)).drop("_n")
 
 
 def top_n(df: DataFrame, order: list[Column], n: int, offset: int = 0) -> DataFrame:
@@ -63,3 +73,28 @@ def grouping_sets(df: DataFrame, sets: list[list[str]], aggregates: list[Column]
         total = total.select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], *total.columns)
         out = total if out is None else out.unionByName(total)
     return out
+
+
+# windows with excluded rows
+
+
+def without_current(function: str, column: str, keys: list[str], order: list[Column], before: int, after: int) -> Column:
+    """``function`` (sum, count, min or max) over ROWS BETWEEN before PRECEDING AND after FOLLOWING EXCLUDE CURRENT ROW:
+    the frames on either side of the row, put together."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    one = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[function]
+    sides = [one(column).over(w.rowsBetween(-before, -1)), one(column).over(w.rowsBetween(1, after))]
+    if function == "min":
+        return F.least(*sides)
+    if function == "max":
+        return F.greatest(*sides)
+    both = F.coalesce(sides[0], F.lit(0)) + F.coalesce(sides[1], F.lit(0))
+    return both if function == "count" else F.when(sides[0].isNotNull() | sides[1].isNotNull(), both)
+
+
+def without_peers(function: str, column: str, keys: list[str], order: list[str], ties_only: bool = False) -> Column:
+    """``function`` (sum or count) over the whole partition EXCLUDE GROUP, or EXCLUDE TIES (the row itself stays)."""
+    one = {"sum": F.sum, "count": F.count}[function]
+    own = F.col(column) if function == "sum" else F.col(column).isNotNull().cast("int")
+    rest = F.coalesce(one(column).over(Window.partitionBy(*keys)), F.lit(0)) - F.coalesce(one(column).over(Window.partitionBy(*keys, *order)), F.lit(0))
+    return rest + F.coalesce(own, F.lit(0)) if ties_only else rest

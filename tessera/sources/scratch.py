@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    """A fresh path under the shared folder of ``spark.checkpoint.dir``. Where that is unset, a local master gets a
+    temporary folder; on a cluster it is an error, as executors do not share their disks."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
