@@ -4,7 +4,8 @@ A text's features are the square roots of its hashed byte-trigram counts (letter
 other characters as one space), scaled to unit length. One linear support vector machine per language
 family, one against the rest, picks the family; inside it, one-versus-one linear machines vote.
 
-The machines are fitted on at most ``per_language`` labelled documents of each language, chosen by a
+The machines are fitted on at most ``per_language`` labelled documents of each of the ``MOST_LANGUAGES`` commonest
+languages, ``MOST_ROWS`` in all (2048 numbers each at the driver), chosen by a
 hash of doc_id; features are computed on the executors, so the driver gets ``bins`` numbers per sampled document.
 
 Cases: null text and text without a letter give ``und`` with score 0; without any labelled row every
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-BINS, PER_LANGUAGE = 2048, 600
+BINS, PER_LANGUAGE, MOST_LANGUAGES, MOST_ROWS = 2048, 600, 200, 24_000
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -120,14 +121,16 @@ class Model:
         return best, min(1.0, max(0.0, sure))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS) -> Model:
-    """Fit on labelled rows (doc_id, text, lang)."""
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, bins: int = BINS, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Fit on labelled rows (doc_id, text, lang): at most ``per_language`` of each language, of at most
+    ``most_languages`` languages (those with most rows, ties by name), and no more than ``MOST_ROWS`` in all."""
     spark = labelled.sparkSession
     common.ship(spark)
     usable = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return Model(np.zeros((0, bins), np.float32), [], bins)
+    per_language = min(per_language, max(1, MOST_ROWS // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000))
     bound = F.coalesce(*[F.when(F.col("lang") == v, F.lit(int(1_000_000 * min(1.0, 1.3 * per_language / n)))) for v, n in counts.items()])
 

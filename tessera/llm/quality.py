@@ -9,7 +9,8 @@ Fitted on at most ``most`` rows of each kind, chosen by a hash of doc_id; the dr
 numbers for each. Every document is scored.
 
 Cases: null and empty texts get a score like any other (all counts 0); without labelled rows every score
-is 0.5; very long texts are read whole; repeated rows are scored each for itself."""
+is 0.5; a document with labels of both kinds counts as unlabelled; very long texts are read whole; repeated rows
+are scored each for itself and drawn for the fit once a text; samples are ordered before they are cut, so reruns agree."""
 
 from __future__ import annotations
 
@@ -143,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Network:
     """``labels``: doc_id, quality of the rows to learn from; other documents of ``docs`` are the web text."""
     spark = docs.sparkSession
     common.ship(spark)
-    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    # a document with labels of both kinds counts as unlabelled
+    known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("low")).where("quality = low").drop("low")
     sizes = {r["kind"]: r["n"] for r in docs.select("doc_id").join(known, "doc_id", "left").groupBy(F.coalesce(F.col("quality"), F.lit(2)).alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return fit_rows(*[np.zeros((0, len(NAMES)), np.float32)] * 3)
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Network:
     bound = F.coalesce(*[F.when(F.col("kind") == k, F.lit(int(1_000_000 * min(1.0, most / n)))) for k, n in sizes.items()])
     # which documents are drawn is settled before any text moves
     drawn = docs.select("doc_id").join(known, "doc_id", "left").withColumn("kind", F.coalesce(F.col("quality"), F.lit(2))).where(draw < bound).select("doc_id", "kind").distinct()
-    kind = {r["doc_id"]: r["kind"] for r in drawn.limit(4 * most).collect()}
+    kind = {r["doc_id"]: r["kind"] for r in drawn.orderBy("doc_id").limit(4 * most).collect()}
     wanted = spark.sparkContext.broadcast(kind)  # at most 4 * most ids
     schema = "doc_id long, kind int, x binary"
 
@@ -164,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Network:
                 texts = batch.column(1).take(pa.array(keep)).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([of[ids[i]] for i in keep], pa.int32()), pa.array([counts(t).astype("<f4").tobytes() for t in texts], pa.binary())], names=["doc_id", "kind", "x"])
 
-    rows = sorted(docs.select("doc_id", "text").where(draw < max(1_000_000 * min(1.0, most / n) for n in sizes.values())).mapInArrow(vectors, schema).limit(8 * most).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"])))
+    rows = sorted(docs.select("doc_id", "text").where(draw < max(1_000_000 * min(1.0, most / n) for n in sizes.values())).mapInArrow(vectors, schema).distinct().orderBy("doc_id", "x").limit(8 * most).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"])))
     def of_kind(k: int) -> np.ndarray:
         return np.frombuffer(b"".join(bytes(r["x"]) for r in rows if r["kind"] == k), "<f4").reshape(-1, len(NAMES)).astype(float)
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op3_learned_partitions
 from .langid import op9_hierarchical_langid
 from .mixing import op7_subset_sum
-from .neardup import op10_chosen_path
+from .neardup import OP10_SQL, op10_chosen_path
 from .packing import op5_cutting_stock
 from .quality import op1_pu_quality
-from .sharding import op2_lpt_sharding
+from .sharding import OP2_SQL, op2_lpt_sharding
 from .surrogates import op4_surrogates
 from .tiff import op8_tiff
 from .warc import OP6_SQL, op6_warc_segments
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chosen_path": op10_chosen_path,
 }
 
-ORACLE: dict[str, str] = {"op6_warc_segments": OP6_SQL}
+ORACLE: dict[str, str] = {"op2_lpt_sharding": OP2_SQL, "op6_warc_segments": OP6_SQL, "op10_chosen_path": OP10_SQL}

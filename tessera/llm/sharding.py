@@ -87,3 +87,23 @@ def _placed(docs: DataFrame, shards: int) -> DataFrame:
 def op2_lpt_sharding(spark, sf_dir: str) -> DataFrame:
     out = shard(common.tables(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The heap, one group at a time, largest first; groups of one size are ranked by digest over what the shards took of
+#: that size. CRC-32 by its table, built by its rule.
+OP2_SQL = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)),
+b AS (SELECT doc_id, text IS NULL AS void, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, CASE WHEN void THEN 1 ELSE len(h) // 2 + 1 END::BIGINT AS size, md5(text) AS k,
+      xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+          lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM b CROSS JOIN crc),
+g AS (SELECT k, sum(size)::BIGINT AS bytes FROM d GROUP BY k),
+o AS (SELECT bytes, row_number() OVER (ORDER BY bytes DESC) AS i FROM g),
+heap(i, bytes, shard, loads) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0, list_transform(range(16), lambda x: 0::BIGINT)
+  UNION ALL SELECT o.i, o.bytes, list_position(loads, list_min(loads))::INTEGER,
+    list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + o.bytes ELSE x END) FROM heap JOIN o ON o.i = heap.i + 1),
+took AS (SELECT bytes, shard - 1 AS shard, row_number() OVER (PARTITION BY bytes ORDER BY shard) AS r FROM heap WHERE i > 0),
+placed AS (SELECT k, shard FROM (SELECT k, bytes, row_number() OVER (PARTITION BY bytes ORDER BY k) AS r FROM g) a JOIN took USING (bytes, r))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, size) - 1)::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard FROM d JOIN placed USING (k)"""
