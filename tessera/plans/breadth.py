@@ -292,8 +292,8 @@ same(
 )
 
 
-@query("sample_bounds", "SELECT true AS inside, true AS stable, true AS near FROM (SELECT 1)")
-def sample_bounds(spark, d):
+@query("sample_bernoulli", "SELECT true AS inside, true AS stable, true AS near FROM (SELECT 1)")
+def sample_bernoulli(spark, d):
     """A seeded sample is a subset, the same each time, and of about the asked size."""
     o = Tables(spark, d).orders.select("o_orderkey")
     first, second = o.sample(0.1, 42), o.sample(0.1, 42)

@@ -39,4 +39,4 @@ def same(name: str, sql: str, oracle: str | None = None) -> None:
     query(name, oracle or sql)(run)
 
 
-from . import breadth, more, operators, tpch  # noqa: E402, F401  the modules register their queries
+from . import breadth, iceberg_table, more, operators, tpch  # noqa: E402, F401  the modules register their queries

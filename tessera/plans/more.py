@@ -69,11 +69,6 @@ def multi_file_scan(spark, d):
     return files.read_parquet(spark, f"{at}/part-*").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"))
 
 
-@query("sample_bernoulli")
-def sample_bernoulli(spark, d):
-    return Tables(spark, d).orders.sample(0.1, 42).select("o_orderkey")
-
-
 @query("exchange_hash", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys, true AS together FROM orders")
 def exchange_hash(spark, d):
     dealt = Tables(spark, d).orders.select("o_custkey").repartition(8, "o_custkey").withColumn("p", F.spark_partition_id())
