@@ -258,9 +258,9 @@ def _classes(docs: DataFrame, sketched: DataFrame, k: int, num: int, den: int, b
     count, widest, total = common.stored_facts(loose.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "loose-sizes", "m")
     dealt = common.stored(common.join_facts(loose, count, "component", "m", total, widest).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block).cast("long"))), "dealt")
     # the one time whole texts move: those of loose components, for both rounds
-    wanted = common.stored(classes.select("id", "doc_id", "t").join(dealt.select("id"), "id"), "wanted")
+    wanted = classes.select("id", "doc_id", "t").join(dealt.select("id"), "id", "left_semi")
     whole = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    texts = common.stored(whole.join(wanted, ["doc_id", "t"]).select("id", "text"), "texts")
+    texts = common.stored(whole.join(wanted.hint("merge"), ["doc_id", "t"]).select("id", "text"), "texts")
     task = F.xxhash64("component", "block")
     base = dealt.select(task.alias("task"), "id", F.col("id").alias("part"), F.lit(0).alias("side"))
     large = dealt.where(F.col("m") > block)
@@ -269,11 +269,14 @@ def _classes(docs: DataFrame, sketched: DataFrame, k: int, num: int, den: int, b
     first = base if widest <= block else base.unionByName(hubs.join(blocks, "component").select(task.alias("task"), F.explode("hubs").alias("id")).select("task", "id", F.col("id").alias("part"), F.lit(0).alias("side")))
     links = common.stored(confirm(first, texts, k, num, den), "links")
     found = common.components(links, "linked")
+    outside_of = None
     if widest > block:
-        parts = common.stored(large.join(found.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
-        sizes = parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("c"))
+        parts = large.join(found.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        sizes = common.stored(parts.groupBy("component", "part").agg(F.count(F.lit(1)).alias("c")), "parts")
         most = sizes.groupBy("component").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        split = common.join_facts(parts, common.stored(most, "most"), "component", "c", total, widest)
+        outside_of, _, still_split = common.stored_facts(most, "most", "c")
+    if outside_of is not None and still_split:
+        split = common.join_facts(parts, outside_of, "component", "c", total, widest)
         outside = split.where("part <> main").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "id"), F.ceil(F.col("m") / block).cast("long")))
         chunks = common.stored(outside.groupBy("component", "chunk").agg(F.count(F.lit(1)).alias("c")), "chunks")
         pairs = chunks.select("component", "chunk").join(blocks, "component")
