@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import json
-import struct
-import zlib
-
 from pyspark.sql import functions as F
 
 from tessera import pin, sql
 from tessera.catalog import Tables
 from tessera.functions import scalar as fn
 from tessera.operators import exchange, joins, relational, vector
-from tessera.sources import files, scratch, sinks
+from tessera.sources import files, scratch, sinks, tables
 from tessera.streaming import fragments
 
 from .catalogue import query, same
 from .operators import _Q, _first_vector
+from .puffin import puffin
 
 # sources and sinks
 
@@ -60,39 +57,6 @@ def split_scan(spark, d):
         spark.conf.set(key, before)
 
 
-def roaring(positions: list[int]) -> bytes:
-    """A 64-bit roaring bitmap: run containers for unbroken spans, bitsets for over 4096 positions, arrays for the rest."""
-    groups: dict[int, list[int]] = {}
-    for p in sorted(positions):
-        groups.setdefault(p >> 16, []).append(p & 0xFFFF)
-    heads, bodies, flags = b"", b"", 0
-    for i, (key, low) in enumerate(groups.items()):
-        heads += struct.pack("<HH", key, len(low) - 1)
-        if low[-1] - low[0] == len(low) - 1:
-            flags |= 1 << i
-            bodies += struct.pack("<HHH", 1, low[0], len(low) - 1)
-        elif len(low) > 4096:
-            bodies += sum(1 << v for v in low).to_bytes(8192, "little")
-        else:
-            bodies += struct.pack(f"<{len(low)}H", *low)
-    n = len(groups)
-    cookie = struct.pack("<I", 12347 | (n - 1) << 16) + flags.to_bytes((n + 7) // 8, "little")
-    offsets = b"\0" * 4 * n if n >= 4 else b""
-    body = b"\xd1\xd3\x39\x64" + struct.pack("<QI", 1, 0) + cookie + heads + offsets + bodies
-    return len(body).to_bytes(4, "big") + body + zlib.crc32(body).to_bytes(4, "big")
-
-
-def puffin(vectors: dict[str, list[int]]) -> bytes:
-    out, blobs = bytearray(b"PFA1"), []
-    for name, positions in vectors.items():
-        blob = roaring(positions)
-        where = {"offset": len(out), "length": len(blob), "snapshot-id": 1, "sequence-number": 1, "fields": []}
-        blobs.append({"type": "deletion-vector-v1", **where, "properties": {"referenced-data-file": name, "cardinality": str(len(positions))}})
-        out += blob
-    footer = json.dumps({"blobs": blobs}).encode()
-    return bytes(out) + b"PFA1" + footer + struct.pack("<iI", len(footer), 0) + b"PFA1"
-
-
 @query(
     "deletion_vector_puffin",
     """SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS s FROM (SELECT l_orderkey, row_number() OVER () - 1 AS pos FROM lineitem)
@@ -138,6 +102,34 @@ def sql_without_optimizer(spark, d):
     return sql.run(spark, "SELECT o_orderstatus, count(*) AS n FROM orders WHERE 1 + 1 = 2 AND o_totalprice > 1000 GROUP BY o_orderstatus", enable_optimizer=False)
 
 
+@query(
+    "table_changes",
+    """SELECT c_custkey, c_mktsegment, CASE WHEN c_nationkey = 4 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 3
+    UNION ALL SELECT -c_custkey, 'NEW', 0.0 FROM customer WHERE c_nationkey = 3""",
+)
+def table_changes(spark, d):
+    """Insert, delete and update; the first version stays readable."""
+    c = Tables(spark, d).customer.select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    t = tables.Table.create(spark, scratch.path(spark, "changing"), c)
+    t.delete("c_nationkey = 3")
+    t.insert(c.where("c_nationkey = 3").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"), F.lit(99).alias("c_nationkey")))
+    t.update({"c_acctbal": "c_acctbal + 1"}, "c_nationkey = 4")
+    return t.read().select("c_custkey", "c_mktsegment", "c_acctbal")
+
+
+@query("insert_select", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 2 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 4")
+def insert_select(spark, d):
+    """CREATE TABLE AS and INSERT INTO on a catalog table, then DROP once it is read."""
+    Tables(spark, d).nation.createOrReplaceTempView("nation")
+    at = scratch.path(spark, "ctas")
+    name = "made_" + at.rpartition("-")[2]
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{at}' AS SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 2")
+    spark.sql(f"INSERT INTO {name} SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 4")
+    schema = spark.table(name).schema
+    spark.sql(f"DROP TABLE {name}")  # external: its files stay
+    return spark.read.schema(schema).parquet(at)
+
+
 # expressions and casts
 
 same(

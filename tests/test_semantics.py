@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tessera import pin, sql
 from tessera.functions import scalar as fn
 from tessera.operators import exchange, joins, relational, vector
-from tessera.plans import breadth, catalogue
-from tessera.sources import files, scratch, sinks
+from tessera.plans import catalogue, puffin
+from tessera.sources import files, scratch, sinks, tables
 from tessera.streaming import fragments
 
 from .conftest import SF
@@ -119,8 +119,8 @@ def test_bitmaps_of_every_container():
     rng = random.Random(1)
     runs, dense = list(range(70_000, 90_000)), sorted(rng.sample(range(131_072, 196_608), 5000))
     sparse = sorted(rng.sample(range(200_000, 260_000), 50))
-    assert files.deletion_vector(breadth.roaring(runs + dense + sparse)) == sorted(runs + dense + sparse)
-    data = breadth.puffin({"a": runs, "b": sparse})
+    assert files.deletion_vector(puffin.roaring(runs + dense + sparse)) == sorted(runs + dense + sparse)
+    data = puffin.puffin({"a": runs, "b": sparse})
     assert files.puffin_vectors(data) == {"a": runs, "b": sparse}
     for broken in (data[:-1], b"XXXX" + data[4:], data[:20] + b"\xff" + data[21:]):
         with pytest.raises((ValueError, KeyError)):
@@ -148,6 +148,24 @@ def test_no_local_folder_on_a_cluster(spark):
         scratch.path(Elsewhere, "x")
 
 
+def test_versions_of_a_table(spark, tmp_path):
+    t = tables.Table.create(spark, f"file://{tmp_path}/t", spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "k int, v string"))
+    first = t.read()
+    t.delete("k = 2")
+    t.update({"v": "concat(v, '!')"}, "k is null")
+    t.insert(spark.createDataFrame([("z", 9)], "v string, k long"))
+    rows = lambda df: sorted((str(r["k"]), r["v"]) for r in df.collect())
+    assert rows(t.read()) == [("1", "a"), ("9", "z"), ("None", "c!")]
+    assert rows(first) == rows(t.read(1)) == [("1", "a"), ("2", "b"), ("2", "b"), ("None", "c")] and rows(t.read(2)) == [("1", "a"), ("None", "c")]
+    with pytest.raises(tables.ConflictError):
+        t.delete("k = 1", base=2)
+    for bad in (lambda: t.read(7), lambda: t.update({"zz": "1"}, "true"), lambda: t.insert(spark.range(1)), lambda: tables.Table(spark, f"file://{tmp_path}/no").read()):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(FileExistsError):
+        tables.Table.create(spark, f"file://{tmp_path}/t", spark.range(1))
+
+
 # SQL entry
 
 
