@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     # order of documents of one length: a seeded hash, its ties by text and id
     draw = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
-    key = F.struct(F.col("draw"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), F.col("doc_id").cast("string").alias("id"))
+    key = F.struct(F.col("draw"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("digest"), F.col("doc_id").alias("id"))
     keyed = common.nested(docs, used).withColumn("size", words).withColumn("draw", draw).withColumn("key", key)
     with common.tidy(spark) as keep:
         slim = common.stored(keyed.select("source", "size", "draw", "key").groupBy("source", "size", "draw", "key").agg(F.count(F.lit(1)).alias("c")), "mix-rows")
