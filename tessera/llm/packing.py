@@ -117,21 +117,24 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                which, rows, kept = [], [], []
-                for i, ids in enumerate(tok.encode(part.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    for s in range(0, n, limit):
-                        cut = ids[4 * s : 4 * (s + limit)]
-                        which.append(i)
-                        rows.append((s, len(cut) // 4, zlib.crc32(cut), n))
-                        if with_ids:
-                            kept.append(cut)
-                columns = [part.column(0).take(pa.array(which, pa.int32())), *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)]]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.binary())] * with_ids], names=schema.names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    which, rows, kept = [], [], []
+                    for i, ids in enumerate(tok.encode(part.column(1).to_pylist())):
+                        ids += end
+                        n = len(ids) // 4
+                        for s in range(0, n, limit):
+                            cut = ids[4 * s : 4 * (s + limit)]
+                            which.append(i)
+                            rows.append((s, len(cut) // 4, zlib.crc32(cut), n))
+                            if with_ids:
+                                kept.append(cut)
+                    columns = [part.column(0).take(pa.array(which, pa.int32())), *[pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)]]
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.binary())] * with_ids], names=schema.names)
+        finally:
+            tok.forget()
 
     common.ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -355,11 +355,15 @@ def pseudonymize(docs: DataFrame, key: str = KEY, count: str | None = None) -> D
         return df.select(*[new.alias(c) if c == "text" else F.col("row")[f"c{others.index(c)}"].alias(c) for c in docs.columns], *n)
 
     if again is None:
-        return shown(held, None)
+        out = shown(held, None)
+        common.forget_parses(docs.sparkSession)
+        return out
     asked = with_some.select("id", F.explode(F.expr(f"array_distinct(transform({of_entities}, q -> {named('q')}))")).alias("part")).join(again, "part")
     maps = asked.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("attempts"))
     # rows without entities move nowhere
-    return shown(held.where("pieces is null or size(pieces) = 1"), None).unionByName(shown(with_some.join(maps, "id", "left"), "attempts"))
+    out = shown(held.where("pieces is null or size(pieces) = 1"), None).unionByName(shown(with_some.join(maps, "id", "left"), "attempts"))
+    common.forget_parses(docs.sparkSession)
+    return out
 
 
 def op4_surrogates(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-#: Words kept between batches of one Python worker; beyond it the cache starts anew (only speed changes).
+#: Words kept between batches of one task; beyond it the cache starts anew (only speed changes).
 CACHE_WORDS = 1_000_000
 _SIMPLE = r"[\x21-\x7e\xa1-įı-ɏ]+"
 
@@ -51,11 +51,15 @@ class WordTokenizer:
             found = self.words[piece] = b"".join(map(self.id_bytes.__getitem__, self.merge(piece.encode() + b"\xff")))
         return found
 
+    def forget(self) -> None:
+        """Drop the cached words, so that a worker kept for later stages does not hold them."""
+        self.words = {"": b""}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null and empty: none."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
+            self.forget()
         words, odd = self.words, []
         for w in set().union(*split) - words.keys():
             if self.simple(w):

@@ -757,3 +757,24 @@ def test_pipeline_stages(spark, docs, none):
     assert Counter(r["doc_id"] for r in kept if r["doc_id"] is not None) == Counter(i for i, (_, c) in want.items() if i == c)
     taken = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mixture(spark, docs, "").collect())
     assert taken and max(taken.values()) <= 2 * 3
+
+
+def test_personal_data_leaves_no_parser_states(spark, docs):
+    import corpus_pipeline
+    from py4j.java_gateway import get_field
+
+    corpus_pipeline.personal_data(spark, docs, "")
+    parser = spark._jvm.org.apache.spark.sql.catalyst.parser.SqlBaseParser(None)
+    states = sum(get_field(d, "states").size() for d in get_field(parser.getInterpreter(), "decisionToDFA"))
+    assert states < 500  # the surrogates' expressions alone make thousands, tens of MB of the driver's heap
+
+
+def test_packing_leaves_workers_no_words(spark, docs):
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(t.words) for t in tokens._LOADED.values()), default=0)])], names=["n"])
+
+    assert packing.pieces(docs, VOCABULARY).count() > 60
+    assert max(r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()) <= 1
