@@ -86,6 +86,29 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
     return a.join(b, ["_level", "_bin"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin", "_level", "_size")
 
 
+def max_before(df: DataFrame, by: list[str], order: str, value: str, name: str, slices: int = 64) -> DataFrame:
+    """Each row with the largest ``value`` of the rows of its ``by`` key whose ``order`` (an integer) is smaller, or NULL.
+
+    ``order`` is cut into ``slices`` of equal length, so a hot key is sorted in that many tasks; earlier slices give
+    one row a key and slice. No pair is formed."""
+    number = F.col(order).cast("double")
+    span = df.agg(F.min(number).alias("lo"), F.max(number).alias("hi")).first()
+    width = ((span["hi"] or 0) - (span["lo"] or 0)) / slices or 1.0
+    # a row without a place is smaller than none
+    seen = F.when(F.col(order).isNotNull(), F.col(value))
+    cut = df.withColumn("_slice", F.floor((number - F.lit(span["lo"] or 0.0)) / width).cast("int")).withColumn("_v", seen)
+    before = Window.partitionBy(*by, "_slice").orderBy(F.col(order).cast("decimal(20,0)")).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.where(F.col(order).isNotNull()).groupBy(*by, "_slice").agg(F.max("_v").alias("_m")).withColumn("_earlier", F.max("_m").over(earlier)).where("_earlier is not null")
+    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_slice").alias("_ks"), "_earlier")
+    match = F.col("_slice") == F.col("_ks")
+    known = F.lit(True)
+    for i, c in enumerate(by):
+        match, known = match & (F.col(c) == F.col(f"_k{i}")), known & F.col(c).isNotNull()
+    joined = cut.withColumn("_within", F.max("_v").over(before)).join(ends, match, "left")
+    return joined.select(*df.columns, F.when(known, F.greatest("_within", "_earlier")).alias(name))
+
+
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """n-th row with n-th row, padded with NULLs; positions come from range-partitioned sorts."""
     return numbered(left, left_order)[0].join(numbered(right, right_order)[0], "_n", "full").drop("_n")

@@ -205,7 +205,13 @@ same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 same("join_cross_left_empty", "SELECT r_name, n_name FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 99) e ON 1 = 1")
 same("join_any", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey OR s_suppkey = n_nationkey")
 same("join_expression_keys", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey % 50 = s_suppkey + 1")
-same("join_delim", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5e0 * max(b.o_totalprice) FROM orders b WHERE b.o_custkey = o.o_custkey AND b.o_orderkey < o.o_orderkey)")
+
+
+@query("join_delim", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5e0 * max(b.o_totalprice) FROM orders b WHERE b.o_custkey = o.o_custkey AND b.o_orderkey < o.o_orderkey)")
+def join_delim(spark, d):
+    """A running maximum of each customer; Spark's own plan pairs all orders with all earlier ones."""
+    o = Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    return joins.max_before(o, ["o_custkey"], "o_orderkey", "o_totalprice", "most").where("o_totalprice > 1.5e0 * most").select("o_orderkey", "o_totalprice")
 
 
 @query("join_dense_count", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")

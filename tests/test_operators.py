@@ -36,6 +36,18 @@ def test_asof_takes_last_before(spark):
     assert sorted(joins.asof_join(left, right, ["k"], "t", "at", ["v"]).collect()) == [(1, 1, None), (1, 5, "b"), (2, 9, None)]
 
 
+def test_largest_before(spark):
+    least = -(2**63)
+    data = [(1, 5, 2.0), (1, 5, 9.0), (1, 6, 1.0), (1, None, 50.0), (1, 4, None), (2, 7, 3.0), (2, 3, float("nan")), (None, 1, 8.0), (None, 2, 4.0), (3, least, 1.0), (3, 9, None), (3, 8, 2.0)]
+    df = spark.createDataFrame(data, "k int, o bigint, v double")
+    smaller = lambda a: [r[2] for r in data if None not in (*r, a[0], a[1]) and r[0] == a[0] and r[1] < a[1]]
+    largest = lambda v: None if not v else "nan" if any(x != x for x in v) else str(max(v))
+    for slices in (1, 3, 64):
+        found = joins.max_before(df, ["k"], "o", "v", "m", slices).collect()
+        assert sorted(str((*r[:3], None if r["m"] is None else str(r["m"]))) for r in found) == sorted(str((*r, largest(smaller(r)))) for r in data)
+    assert joins.max_before(df.limit(0), ["k"], "o", "v", "m").collect() == []
+
+
 def test_division(spark):
     assert one(spark, fn.divide(F.lit(1), F.lit(0))) == float("inf")
     assert one(spark, fn.divide(F.lit(-1), F.lit(0))) == float("-inf")
