@@ -109,6 +109,29 @@ def max_before(df: DataFrame, by: list[str], order: str, value: str, name: str,
     return joined.select(*df.columns, F.when(known, F.greatest("_within", "_earlier")).alias(name))
 
 
+def count_below(left: DataFrame, right: DataFrame, probe: str, key: str, count: str = "n") -> DataFrame:
+    """Each left row with the number of right rows whose ``key`` is less than its ``probe``; 0 for a NULL probe.
+
+    Both sides are sorted together, the right one as one row a value, and stored with their partition; counts run
+    within a partition and start at the sum of those before it. No pair is formed, and equal probes may be parted."""
+    values = right.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    # a value follows the probes equal to it; NULL probes come before all values
+    probes = left.withColumn("_at", F.col(probe)).withColumn("_side", F.lit(0)).withColumn("_c", F.lit(0).cast("long")).withColumn("_tie", F.monotonically_increasing_id())
+    both = probes.unionByName(values.withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(0).cast("long")), allowMissingColumns=True)
+    ordered = both.orderBy(F.asc_nulls_first("_at"), "_side", "_tie").withColumn("_p", F.spark_partition_id())
+    at = scratch.path(left.sparkSession, "below")
+    ordered.write.parquet(at)
+    ordered = left.sparkSession.read.schema(ordered.schema).parquet(at)
+    starts, total = [], 0
+    for r in sorted(ordered.groupBy("_p").agg(F.sum("_c").alias("c")).collect()):  # one row a partition
+        starts.append((r["_p"], total))
+        total += r["c"]
+    table = left.sparkSession.createDataFrame(starts, "_p int, _s bigint")
+    w = Window.partitionBy("_p").orderBy(F.asc_nulls_first("_at"), "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ordered.withColumn("_r", F.sum("_c").over(w)).where("_side = 0").join(F.broadcast(table), "_p")
+    return running.select(*left.columns, (F.col("_s") + F.col("_r")).alias(count))
+
+
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """n-th row with n-th row, padded with NULLs; positions come from range-partitioned sorts."""
     return numbered(left, left_order)[0].join(numbered(right, right_order)[0], "_n", "full").drop("_n")

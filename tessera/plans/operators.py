@@ -199,7 +199,16 @@ def join_null_safe(spark, d):
 
 
 same("join_null_safe_outer", f"SELECT l.id AS lid, r.id AS rid FROM {_L} FULL JOIN {_R} ON l.k IS NOT DISTINCT FROM r.k")
-same("join_theta", "SELECT s_suppkey, count(*) AS cheaper FROM supplier JOIN part ON p_retailprice < s_acctbal GROUP BY s_suppkey")
+
+
+@query("join_theta", "SELECT s_suppkey, count(*) AS cheaper FROM supplier JOIN part ON p_retailprice < s_acctbal GROUP BY s_suppkey")
+def join_theta(spark, d):
+    """Parts below each balance are counted in sorted order, not paired."""
+    t = Tables(spark, d)
+    counted = joins.count_below(t.supplier.select("s_suppkey", "s_acctbal"), t.part, "s_acctbal", "p_retailprice")
+    return counted.where("n > 0").groupBy("s_suppkey").agg(F.sum("n").alias("cheaper"))
+
+
 same("join_theta_left", "SELECT n_nationkey, r_regionkey FROM nation LEFT JOIN region ON n_regionkey < r_regionkey - 2")
 same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 same("join_cross_left_empty", "SELECT r_name, n_name FROM region LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 99) e ON 1 = 1")

@@ -48,6 +48,18 @@ def test_largest_before(spark):
     assert joins.max_before(df.limit(0), ["k"], "o", "v", "m").collect() == []
 
 
+def test_count_below(spark):
+    nan = float("nan")
+    probes = [(1, 2.0), (1, 2.0), (2, None), (None, 9.0), (3, nan), (4, -1.0), (5, 0.0)] + [(10 + i, float(i)) for i in range(40)]
+    keys = [2.0, 2.0, 1.0, None, nan, nan, -0.0, 7.5]
+    left, right = spark.createDataFrame(probes, "a int, p double"), spark.createDataFrame([(k,) for k in keys], "k double")
+    less = lambda k, p: k is not None and p is not None and k == k and (p != p or k < p)  # noqa: E731  NaN is the largest
+    wanted = [(a, p, sum(less(k, p) for k in keys)) for a, p in probes]
+    assert sorted(map(str, (tuple(r) for r in joins.count_below(left, right, "p", "k").collect()))) == sorted(map(str, wanted))
+    assert [r["n"] for r in joins.count_below(left, right.limit(0), "p", "k").collect()] == [0] * len(probes)
+    assert joins.count_below(left.limit(0), right, "p", "k").collect() == []
+
+
 def test_division(spark):
     assert one(spark, fn.divide(F.lit(1), F.lit(0))) == float("inf")
     assert one(spark, fn.divide(F.lit(-1), F.lit(0))) == float("-inf")

@@ -378,7 +378,7 @@ def test_random_queries(spark, duck, seed):
     assert rows(mine.columns, mine.collect()) == rows(theirs.columns, theirs.fetchall()), statement
 
 
-@pytest.mark.parametrize("name", ["join_delim"])
+@pytest.mark.parametrize("name", ["join_delim", "join_theta"])
 def test_growing_tables_are_not_paired(spark, name):
     shown = plan(catalogue.QUERIES[name](spark, SF))
     assert "NestedLoopJoin" not in shown and "CartesianProduct" not in shown
