@@ -4,8 +4,9 @@ A document's set is its distinct k-word shingles; documents with equal sets form
 of the set), so copies are never compared. Each class has POSITIONS minhash values. A tree branches the
 classes: at its root by one chosen minwise value, below, in every node with more than ``leaf`` classes, by
 two values chosen from the node's own hash, down to ``depth``. Small nodes are compared exhaustively by
-their minhash values; a large node most of whose members look like its first, or one that is still large
-at full depth, counts as one group. Trees are
+their minhash values; a large node most of whose members look like its first counts as one group. Nodes that are
+still large at ``depth`` are split further while their pairs outgrow the table, down to DEEPEST, and what is large
+then is compared exhaustively too, in pairs of blocks of at most about BLOCK members. Trees are
 independent and repeated until the chance to part a pair at the threshold in all of them is below 1e-6.
 
 What shares a node and looks alike forms loose components; every true link lies inside one. Links are
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from . import common
 
 POSITIONS, TREES, LEAF, DEPTH, BLOCK, HUBS = 64, 10, 48, 2, 768, 4
+#: Levels at most; pairs in large nodes, for each member of a node at the roots, up to which no more levels are added.
+DEEPEST, PAIRS = 5, 64
 _MULT = np.random.default_rng(977).integers(1, 2**63, POSITIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(978).integers(0, 2**63, POSITIONS, dtype=np.uint64)
 
@@ -101,6 +104,19 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+def _stars(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (member, its group's first) of the groups that a symmetric matrix links."""
+    m = len(ok)
+    label = np.arange(m)
+    while True:
+        low = np.minimum(np.where(ok, label[None, :], m).min(axis=1), label)
+        if (low == label).all():
+            break
+        label = low
+    far = np.flatnonzero(label != np.arange(m))
+    return far, label[far]
+
+
 def alike(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Star edges (u, v) of the groups of alike members inside each small node (node, id, n, sketch)."""
     least = alike_least(num, den)
@@ -123,21 +139,58 @@ def alike(nodes: DataFrame, num: int, den: int) -> DataFrame:
                     continue
                 ok = (s[:, None, :] == s[None, :, :]).sum(axis=2) >= least
                 ok &= den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])
-                label = np.arange(m)
-                while True:
-                    low = np.where(ok, label[None, :], m).min(axis=1)
-                    if (low == label).all():
-                        break
-                    label = low
-                far = np.flatnonzero(label != np.arange(m))
+                far, first = _stars(ok)
                 us.append(ids[a + far])
-                vs.append(ids[a + label[far]])
+                vs.append(ids[a + first])
             u, v = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return nodes.mapInArrow(run, "u long, v long")
 
 
+def alike_large(nodes: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Star edges (u, v) of the alike members of large nodes (node, id, n, sketch, c: the node's members).
+
+    A node is dealt to blocks; every pair of blocks is one group, compared across, a block with itself inside."""
+    least = alike_least(num, den)
+    of = F.ceil(F.col("c") / block).cast("int")
+    dealt = nodes.withColumn("_of", of).withColumn("_b", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("_of")).cast("int"))
+    met = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    pair = F.xxhash64(F.lit(4), "node", F.least("_b", "_o"), F.greatest("_b", "_o"))
+    asked = met.select(pair.alias("node"), "id", "n", "sketch", F.when(F.col("_b") == F.col("_o"), 0).when(F.col("_b") < F.col("_o"), 1).otherwise(2).alias("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, "node"):
+            node, all_ids, size, sides = (table.column(c).to_numpy() for c in ("node", "id", "n", "side"))
+            start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            us, vs = [], []
+            for a, b in zip(start, np.append(start[1:], len(node)), strict=True):
+                sketch = np.frombuffer(b"".join(table.column("sketch").slice(a, b - a).to_pylist()), np.int32).reshape(-1, POSITIONS)
+                ids, n, side = all_ids[a:b], size[a:b], sides[a:b]
+                left, right = (np.arange(b - a),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+                at, to = (np.ascontiguousarray(sketch[x].T) for x in (left, right))
+                equal = np.zeros((len(left), len(right)), np.uint8)
+                for p in range(POSITIONS):
+                    equal += at[p][:, None] == to[p][None, :]
+                x, y = n[left][:, None], n[right][None, :]
+                near = (equal >= least) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
+                linked = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                members = np.unique(np.concatenate([left[linked[0]], right[linked[1]]]))
+                if not len(members):
+                    continue
+                place = np.full(b - a, -1)
+                place[members] = np.arange(len(members))
+                ok = np.zeros((len(members), len(members)), bool)
+                ok[np.ix_(place[left[linked[0]]], place[right[linked[1]]])] = near[np.ix_(*linked)]
+                far, first = _stars(ok | ok.T)
+                us.append(ids[members[far]])
+                vs.append(ids[members[first]])
+            u, v = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (us, vs))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return asked.repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "u long, v long")
+
+
 def _agreements(a: str, b: str):
     """Equal minhash values of two sketches."""
     values = [F.substring(F.col(a), 4 * i + 1, 4) == F.substring(F.col(b), 4 * i + 1, 4) for i in range(POSITIONS)]
@@ -151,13 +204,16 @@ def loose_edges(classes: DataFrame, num: int, den: int, trees: int = TREES, leaf
     """Edges between classes (id, n, sketch) that share a node and look alike.
 
     Nodes are told apart on (node, id) alone; sketches go only to members of nodes of two and more. A large
-    node most of whose members look like its first is one group: all its members are linked to it."""
+    node most of whose members look like its first is one group: all its members are linked to it. No other node is
+    linked as a whole, so groups do not grow with the number of sets that happen to share some values."""
     seeds = np.random.default_rng(31).permutation(POSITIONS)[:trees]
     nodes = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(t), _value(int(p))) for t, p in enumerate(seeds)])).alias("node"))
-    pool, found = classes, []
-    for level in range(depth + 1):
+    pool, found, at_roots = classes, [], 0
+    deepest = max(depth, DEEPEST)
+    for level in range(deepest + 1):
         counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1")
         counts, most, total = common.stored_facts(counts, "counts", "m")
+        at_roots = at_roots or total
         members = common.join_facts(nodes, counts, "node", "m", total, most).select("node", "id", "m", "first")
         # one join hands out the sketches; a class in many nodes has them side by side, which files keep small
         held = common.stored(members.join(pool.hint("merge"), "id").select("node", "id", "m", "first", "n", "sketch"), "members")
@@ -165,14 +221,19 @@ def loose_edges(classes: DataFrame, num: int, den: int, trees: int = TREES, leaf
         found.append(common.stored(alike(small.repartition("node").sortWithinPartitions("node", "id"), num, den).distinct(), "alike"))
         large = held.where(F.col("m") > leaf)
         to_first = large.where("id <> first").select("node", F.col("id").alias("u"), F.col("first").alias("v"))
-        if level == depth or most <= leaf:
-            found.append(to_first.select("u", "v"))
+        if most <= leaf:
             break
         firsts = large.where("id = first").select("node", F.col("sketch").alias("_of"), F.col("m").alias("c"))
         compared = common.join_facts(large.select("node", "sketch"), firsts, "node", "c", total, most)
         near = compared.groupBy("node").agg(F.avg((_agreements("sketch", "_of") >= alike_least(num, den)).cast("int")).alias("near"), F.first("c").alias("c"))
         near = common.stored(near.select("node", "c", (F.col("near") >= 0.8).alias("one")), "near")
         found.append(common.join_facts(to_first, near.where("one"), "node", "c", total, most).select("u", "v"))
+        if level >= depth:
+            pairs = near.where("not one").agg(F.sum(F.col("c") * F.col("c")).alias("p")).first()["p"] or 0
+            if level == deepest or pairs <= PAIRS * at_roots:
+                rest = common.join_facts(large.select("node", "id", "n", "sketch"), near.where("not one"), "node", "c", total, most)
+                found.append(common.stored(alike_large(rest, num, den).distinct(), "alike"))
+                break
         chosen = [F.pmod(F.xxhash64(F.lit(level * 2 + i), "node"), F.lit(POSITIONS)).cast("int") for i in range(2)]
         rest = common.join_facts(large.select("node", "id", "n", "sketch"), near.where("not one"), "node", "c", total, most)
         split = common.stored(rest.select("id", "n", "sketch", F.explode(F.array(*[F.xxhash64("node", F.lit(i), _value(c)) for i, c in enumerate(chosen)])).alias("node")), "level")

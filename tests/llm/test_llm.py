@@ -778,3 +778,22 @@ def test_packing_leaves_workers_no_words(spark, docs):
 
     assert packing.pieces(docs, VOCABULARY).count() > 60
     assert max(r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()) <= 1
+
+
+def test_large_nodes_link_only_what_looks_alike(spark, monkeypatch):
+    """2,000 sets that share 30 of 64 values stay together at every level of the trees; only alike ones may be linked."""
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(-(2**31), 2**31, (2000, neardup.POSITIONS), dtype=np.int32)
+    shared = rng.permutation(neardup.POSITIONS)[:30]
+    sketch[:, shared] = sketch[0, shared]
+    alike = {(i + 1000, i) for i in range(0, 1000, 50)}
+    for u, v in alike:
+        sketch[u] = sketch[v]
+        sketch[u, rng.permutation(neardup.POSITIONS)[:6]] = u
+    classes = spark.createDataFrame([(i, 100, bytearray(sketch[i].tobytes())) for i in range(2000)], "id long, n long, sketch binary")
+    for pairs in (neardup.PAIRS, 0):  # compared at once, or after all levels
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        found = {(max(r), min(r)) for r in map(tuple, neardup.loose_edges(classes, 85, 100, trees=3).distinct().collect())}
+        assert found == alike
+    whole = classes.select(F.lit(1).cast("long").alias("node"), "id", "n", "sketch", F.lit(2000).cast("long").alias("c"))
+    assert {(max(r), min(r)) for r in map(tuple, neardup.alike_large(whole, 85, 100, 300).distinct().collect())} == alike
