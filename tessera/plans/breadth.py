@@ -44,17 +44,24 @@ def json_round_trip(spark, d):
 
 @query("split_scan", "SELECT count(*) AS n, sum(l_orderkey)::BIGINT AS s, true AS several FROM lineitem")
 def split_scan(spark, d):
-    """One file read as several byte ranges: every row once."""
+    """Files read as several byte ranges each: every row once. They are written where their rows are; a file is bounded
+    in rows, as each of its ranges reads its whole footer, and ranges share tasks once there are many."""
     at = scratch.path(spark, "split")
-    Tables(spark, d).lineitem.coalesce(1).write.option("parquet.block.size", 1 << 16).parquet(at)
-    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set(key, str(1 << 16))
+    Tables(spark, d).lineitem.write.option("parquet.block.size", 1 << 16).option("maxRecordsPerFile", 100_000).parquet(at)
+    settings = {"spark.sql.files.maxPartitionBytes": str(1 << 16), "spark.sql.files.maxPartitionNum": str(8 * spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        df = spark.read.parquet(at)
-        several = df.rdd.getNumPartitions() > 1  # the splits are made here, under this setting
-        return df.agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("s"), F.lit(several).alias("several"))
+        read = spark.read.parquet(at).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "l_orderkey")
+        more = read.rdd.getNumPartitions() > len(read.inputFiles())  # ranges may hold no row group's start
+        ranges = read.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("s"))
+        by_file = ranges.groupBy("file").agg(F.count(F.lit(1)).alias("ranges"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+        found = by_file.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("s"), F.coalesce((F.max("ranges") > 1) | F.lit(more), F.lit(more))).first()  # read here, under these settings
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.createDataFrame([tuple(found)], "n long, s long, several boolean")
 
 
 @query(

@@ -382,3 +382,13 @@ def test_random_queries(spark, duck, seed):
 def test_growing_tables_are_not_paired(spark, name):
     shown = plan(catalogue.QUERIES[name](spark, SF))
     assert "NestedLoopJoin" not in shown and "CartesianProduct" not in shown
+
+
+def test_split_scan_writes_no_file_of_all_rows(spark, tmp_path, monkeypatch):
+    """Two input files give two files or more, and each is read as several ranges."""
+    spark.read.parquet(f"{SF}/lineitem.parquet").repartition(2).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(scratch, "path", lambda *_: f"{tmp_path}/out")
+    n, _, several = catalogue.QUERIES["split_scan"](spark, str(tmp_path)).first()
+    assert several and n == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert spark.read.parquet(f"{tmp_path}/out").select("_metadata.file_path").distinct().count() >= 2
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != str(1 << 16)
