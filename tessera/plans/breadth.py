@@ -335,13 +335,12 @@ def exchange_routed(spark, d):
 
 @query("stream_source", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS s FROM events GROUP BY event_type")
 def stream_source(spark, d):
-    """Two senders push batches of their halves; the source ends when both have closed."""
+    """Two senders push batches of their halves, written by the executors; the source ends when both have closed."""
     e = Tables(spark, d).events.select("event_id", "event_type")
     schema = e.limit(0).toArrow().schema
     stream = fragments.BatchStream(schema, ["even", "odd"])
     for name, rest in (("even", 0), ("odd", 1)):
-        for batch in sinks.arrow_batches(e.where(F.col("event_id") % 2 == rest), 3000):
-            stream.push(name, batch)
+        stream.push(name, fragments.StoredBatches(e.where(F.col("event_id") % 2 == rest), 3000))
         stream.close(name)
     rows = fragments.stream_source(spark, stream, 60)
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("s"))

@@ -4,12 +4,53 @@ from __future__ import annotations
 
 import threading
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import exchange
+from tessera.sources import scratch
+
+
+class StoredBatches:
+    """Record batches of a sender that the executors wrote; the driver has their place alone.
+
+    Each row of the stored table is one batch of at most ``rows`` rows in Arrow's stream format."""
+
+    def __init__(self, df: DataFrame, rows: int = 10_000):
+        self.schema: pa.Schema = df.limit(0).toArrow().schema
+        self._spark, self._rows_schema = df.sparkSession, df.schema
+        self.path = scratch.path(df.sparkSession, "batches")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(at, rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+        df.mapInArrow(pack, "batch binary").write.parquet(self.path)
+
+    def _stored(self) -> DataFrame:
+        return self._spark.read.schema("batch binary").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        """All rows of the batches, read where they lie."""
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for data in batch.column(0):
+                    yield from pa.ipc.open_stream(data.as_buffer())
+
+        return self._stored().mapInArrow(unpack, self._rows_schema)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The batches at the driver, one partition of the stored table at a time."""
+        for r in self._stored().toLocalIterator():
+            for batch in pa.ipc.open_stream(bytes(r["batch"])):
+                yield pa.RecordBatch.from_arrays(batch.columns, schema=self.schema)
 
 
 class BatchStream:
@@ -20,11 +61,11 @@ class BatchStream:
         if not senders:
             raise ValueError("at least one sender must be declared")
         self.schema, self._open, self._known = schema, set(senders), set(senders)
-        self._held: deque[pa.RecordBatch] = deque()
+        self._held: deque[pa.RecordBatch | StoredBatches] = deque()
         self._error: Exception | None = None
         self._changed = threading.Condition()
 
-    def push(self, sender: str, batch: pa.RecordBatch) -> None:
+    def push(self, sender: str, batch: pa.RecordBatch | StoredBatches) -> None:
         with self._changed:
             if sender not in self._open:
                 raise ValueError(f"{sender} is {'closed' if sender in self._known else 'not declared'}")
@@ -50,8 +91,8 @@ class BatchStream:
     def ended(self) -> bool:
         return self._error is None and not self._open and not self._held
 
-    def try_pull(self) -> pa.RecordBatch | None:
-        """A batch if there is one; the failure as an error."""
+    def try_pull(self) -> pa.RecordBatch | StoredBatches | None:
+        """What was pushed next if there is something; the failure as an error."""
         with self._changed:
             if self._error is not None:
                 raise self._error
@@ -62,22 +103,37 @@ class BatchStream:
         with self._changed:
             return self._changed.wait_for(lambda: self._held or self._error is not None or not self._open, seconds)
 
-    def table(self, seconds: float | None = None) -> pa.Table:
-        """All batches to the end."""
-        found = []
+    def drain(self, seconds: float | None = None) -> Iterator[pa.RecordBatch | StoredBatches]:
+        """All that is pushed, to the end."""
         while True:
             if not self.wait(seconds):
                 raise TimeoutError("the stream has not ended")
             batch = self.try_pull()
             if batch is None and self.ended:
-                return pa.Table.from_batches(found, self.schema)
+                return
             if batch is not None:
-                found.append(batch)
+                yield batch
+
+    def table(self, seconds: float | None = None) -> pa.Table:
+        """All batches to the end, at the driver."""
+        found = []
+        for batch in self.drain(seconds):
+            found += batch.batches() if isinstance(batch, StoredBatches) else [batch]
+        return pa.Table.from_batches(found, self.schema)
 
 
 def stream_source(spark: SparkSession, stream: BatchStream, seconds: float | None = None) -> DataFrame:
-    """The rows of a stream, once it has ended."""
-    return spark.createDataFrame(stream.table(seconds))
+    """The rows of a stream, once it has ended; stored batches are read by the executors."""
+    found = list(stream.drain(seconds))
+    stored = [b for b in found if isinstance(b, StoredBatches)]
+    held = [b for b in found if not isinstance(b, StoredBatches)]
+    parts = [b.rows() for b in stored]
+    if held or not stored:
+        parts.append(spark.createDataFrame(pa.Table.from_batches(held, stream.schema)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 class Fragment:

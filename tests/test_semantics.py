@@ -392,3 +392,30 @@ def test_split_scan_writes_no_file_of_all_rows(spark, tmp_path, monkeypatch):
     assert several and n == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert spark.read.parquet(f"{tmp_path}/out").select("_metadata.file_path").distinct().count() >= 2
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") != str(1 << 16)
+
+
+def test_stored_batches_stay_with_the_executors(spark):
+    df = spark.createDataFrame([(i, f"x{i % 3}" if i % 5 else None) for i in range(100)], "a bigint, b string").repartition(3)
+    pushed = fragments.StoredBatches(df, 7)
+    stream = fragments.BatchStream(pushed.schema, ["x", "y"])
+    stream.push("x", pushed)
+    stream.push("y", pa.RecordBatch.from_pylist([{"a": 500, "b": "held"}], pushed.schema))
+    stream.close("x")
+    stream.close("y")
+    assert max(b.num_rows for b in pushed.batches()) == 7
+    found = fragments.stream_source(spark, stream, 5)
+    assert sorted(str(tuple(r)) for r in found.collect()) == sorted(str(tuple(r)) for r in [*df.collect(), (500, "held")])
+    again = fragments.BatchStream(pushed.schema, ["x"])
+    again.push("x", pushed)
+    again.close("x")
+    assert again.table(5).num_rows == 100
+
+
+def test_stream_source_hands_no_rows_to_the_driver(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("rows at the driver")
+
+    monkeypatch.setattr(sinks, "arrow_batches", refused)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", refused)
+    monkeypatch.setattr(fragments.BatchStream, "table", refused)
+    assert catalogue.QUERIES["stream_source"](spark, SF).count() > 0
